@@ -128,16 +128,27 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word: a polynomial over its lower-cased bytes."""
+    def _sums(self) -> np.ndarray:
         n = len(self.data)
         total = np.zeros(n + 1, dtype=U64)
         term = _WORD_BYTE[self.data].astype(U64)
         term *= _powers(_BASE, n)
         np.cumsum(term, out=total[1:])
-        value = total[self.end] - total[self.start]
-        value *= _powers(_INVERSE, n + 1)[self.start]
-        return mix64(value + (self.end - self.start).astype(U64) * U64(0xA24BAED4963EE407))
+        return total
+
+    def hashes(self, *prefixes: int) -> np.ndarray | list[np.ndarray]:
+        """One 64-bit hash per word: a polynomial over its lower-cased bytes.
+
+        With ``prefixes``, also one list each for the words' first bytes.
+        """
+        total = self._sums()
+        scale = _powers(_INVERSE, len(self.data) + 1)[self.start]
+        found = []
+        for most in (None, *prefixes):
+            end = self.end if most is None else np.minimum(self.end, self.start + most)
+            value = (total[end] - total[self.start]) * scale
+            found.append(mix64(value + (end - self.start).astype(U64) * U64(0xA24BAED4963EE407)))
+        return found if prefixes else found[0]
 
     def text(self, i: int) -> np.ndarray:
         return self.data[self.offsets[i]: self.offsets[i + 1]]

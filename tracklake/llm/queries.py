@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_chunks, packing, token_counts
+from . import html_extract, license_scan, media_chunks, mixing, near_dup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
 try:  # vocabulary files are found by a parameter; this is its default
     import public_tokenizers
@@ -30,12 +30,47 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, quality_classifier.ratings(table(spark, sf_dir, "labels")))
+    return quality_classifier.classify(docs, model)
+
+
+def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_chunks, op2_best_two_fit, op6_token_counts)
+    f.__name__: f
+    for f in (
+        op1_media_chunks, op2_best_two_fit, op3_weighted_minhash, op4_adaptive_rules, op5_best_region, op6_token_counts,
+        op7_soft_mixing, op8_ordinal_quality, op9_license_join, op10_paragraph_dedup,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_adaptive_rules": quality_rules.sql()}
