@@ -15,6 +15,8 @@ input are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -137,7 +139,7 @@ class _Reader:
 
     def __init__(self) -> None:
         self.sha, self.media, self.tail = hashlib.sha256(), hashlib.sha256(), b""
-        self.n = self.chunks = 0
+        self.n = self.chunks = self.head = 0
         self.histogram = np.zeros(256, np.int64)
         self.digests: set[bytes] = set()
 
@@ -148,7 +150,7 @@ class _Reader:
         self.media.update(head)
 
     def add(self, seq: int, digest: bytes, chunk: bytes) -> None:
-        if seq != self.chunks or hashlib.sha256(chunk).digest() != digest:
+        if not self.head or seq != self.chunks or hashlib.sha256(chunk).digest() != digest:
             raise ValueError("a chunk is missing, repeated or damaged")
         self.sha.update(chunk)
         self.media.update(chunk)
@@ -170,36 +172,73 @@ class _Reader:
 
 _FEATURES = "recipe_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _FEATURES_ARROW = pa.schema([("recipe_id", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_STEP = "recipe_id binary, seq int, digest binary, recipe binary, stored binary"
+_STEP_ARROW = pa.schema([("recipe_id", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary()), ("recipe", pa.binary()), ("stored", pa.binary())])
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (recipe_id, seq); one payload's state is held."""
-    key, reader, done = None, None, []
+def _measured(recipe_id: bytes, chunks: Iterator[tuple[int, bytes, bytes | None, bytes | None]]) -> tuple:
+    """Features of one payload from its (seq, digest, recipe, stored) in order."""
+    reader = _Reader()
+    for seq, digest, recipe, stored in chunks:
+        if seq == 0:
+            reader.header(recipe)
+        if stored is None:
+            raise ValueError("a recipe names a chunk that the store lacks")
+        reader.add(seq, digest, zlib.decompress(stored))
+    return recipe_id, *reader.row()
+
 
-    def flush():
-        columns = list(zip(*done, strict=True)) or [()] * len(_FEATURES_ARROW)
-        done.clear()
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _FEATURES_ARROW, strict=True)], schema=_FEATURES_ARROW)
+def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [()] * len(schema)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+
+def _steps(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
-            part = batch.slice(low, 256)
-            for row_id, seq, digest, recipe, stored in zip(*(part.column(c).to_pylist() for c in ("recipe_id", "seq", "digest", "recipe", "stored")), strict=True):
-                if row_id != key:
-                    if reader:
-                        done.append((key, *reader.row()))
-                    key, reader = row_id, _Reader()
-                    if recipe is None:
-                        raise ValueError("a payload lacks its first chunk")
-                    reader.header(recipe)
-                if stored is None:
-                    raise ValueError("a recipe names a chunk that the store lacks")
-                reader.add(seq, digest, zlib.decompress(stored))
-            if len(done) >= 1024:
-                yield flush()
-    if reader:
-        done.append((key, *reader.row()))
-    yield flush()
+            yield from zip(*(batch.slice(low, 256).column(c).to_pylist() for c in names), strict=True)
+
+
+def _grouped(rows: Iterator[tuple], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    found = []
+    for row in rows:
+        found.append(row)
+        if len(found) >= size:
+            yield _rows(found, schema)
+            found = []
+    yield _rows(found, schema)
+
+
+def _where_they_lie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads of one chunk are measured beside the store; others pass by.
+
+    A measured payload travels as a step without stored bytes, whose digest
+    column holds its features.
+    """
+
+    def rows() -> Iterator[tuple]:
+        for recipe_id, seq, digest, recipe, stored in _steps(batches, _STEP_ARROW.names):
+            if seq == 0 and len(recipe) == 36:
+                measured = _measured(recipe_id, iter([(seq, digest, recipe, stored)]))
+                yield recipe_id, -1, json.dumps(measured[1:]).encode(), None, None
+            else:
+                yield recipe_id, seq, digest, recipe, stored
+
+    return _grouped(rows(), 256, _STEP_ARROW)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (recipe_id, seq); one payload's state is held."""
+
+    def rows() -> Iterator[tuple]:
+        for recipe_id, steps in itertools.groupby(_steps(batches, _STEP_ARROW.names), key=lambda r: r[0]):
+            first = next(steps)
+            if first[1] < 0:
+                yield recipe_id, *json.loads(first[2])
+            else:
+                yield _measured(recipe_id, (r[1:] for r in itertools.chain([first], steps)))
+
+    return _grouped(rows(), 1024, _FEATURES_ARROW)
 
 
 def read_back(recipes: DataFrame, store: DataFrame) -> DataFrame:
@@ -217,9 +256,9 @@ def read_back(recipes: DataFrame, store: DataFrame) -> DataFrame:
         F.expr("substring(recipe, seq * 36 + 1, 32)").alias("digest"),
         F.expr("if(seq = 0, recipe, null)").alias("recipe"),
     )
-    joined = steps.join(store, "digest", "left")
-    placed = joined.repartition("recipe_id").sortWithinPartitions("recipe_id", "seq")
-    return placed.select("recipe_id", "seq", "digest", "recipe", "stored").mapInArrow(_assemble, _FEATURES)
+    joined = steps.join(store, "digest", "left").select("recipe_id", "seq", "digest", "recipe", "stored")
+    placed = joined.mapInArrow(_where_they_lie, _STEP).repartition("recipe_id").sortWithinPartitions("recipe_id", "seq")
+    return placed.mapInArrow(_assemble, _FEATURES)
 
 
 def media_features(docs: DataFrame, **cuts: int) -> DataFrame:
