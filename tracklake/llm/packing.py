@@ -39,27 +39,39 @@ SHARDS = 4096
 class WordEncoder(dict):
     """Little-endian ids of words and texts, as the library gives them."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library, self.remembered = Tokenizer.from_file(path), remembered
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
+        return self.whole(word)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words in one call; each ends with the only symbol that ends one."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            self.update((w, self.whole(w)) for w in words)
+            return
+        raw = ids.tobytes()
+        self.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         if len(self) >= self.remembered:
             self.clear()
-        return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
+        new = [w for w in set().union(*filter(None, split)).difference(self) if len(w) <= 64]
+        for low in range(0, len(new), 4096):
+            self.learn(new[low: low + 4096])
+        return [self.whole(t) if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -82,8 +94,9 @@ def token_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1)
             for low in range(0, whole.num_rows, 256):
                 part = whole.slice(low, 256)
                 rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+                coded = encode([t or "" for t in part.column("text").to_pylist()])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coded, strict=True):
+                    ids += end
                     n = len(ids) // 4
                     rows += [(doc_id, i, at, min(size, n - at), ids[4 * at: 4 * (at + size)]) for i, at in enumerate(range(0, n, size))]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
