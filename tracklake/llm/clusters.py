@@ -1,9 +1,10 @@
 """Components of verified links among nodes that share buckets.
 
-No step lists all pairs of a bucket.  A bucket's smallest node is its pivot,
-and its other nodes are held against it; buckets that still hold more than one
-component then get their next node as pivot, and so on until none is left in
-which two components have not been held against each other.
+No step lists all pairs of a bucket.  First each node is held against the
+bucket's smallest node that it shares most buckets with.  Then, in turns, the
+nodes outside a bucket's largest component are held against all its nodes, a
+bounded number of them in a turn, until every two nodes that still are in
+different components have been held against each other.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Buckets of up to this many nodes have all their open pairs verified at once.
-SMALL = 16
+#: So many nodes of a bucket are held against its other nodes in one turn.
+PIVOTS = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,37 +57,41 @@ def verified_components(members: DataFrame, verify: Callable[[DataFrame], DataFr
     """node, component for nodes with a verified link.
 
     members: node (long), bucket (long), distinct.  verify: gets distinct pairs
-    (a, b) and returns those that hold.
+    (a, b) and returns those that hold.  Every two nodes of a bucket are
+    verified, or connected already, when this ends.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1").drop("size")
     held = materialise(members.join(sizes, "bucket"), "members")
-    # first, each node and the pivot that it shares most buckets with
     shared = held.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("less"))).alias("best"))
-    tried = materialise(best.select((-F.col("best.less")).alias("a"), F.col("node").alias("b")), "tried")
-    links = materialise(verify(tried), "verified")
-    turn = 0
+    links = verify(best.select((-F.col("best.less")).alias("a"), F.col("node").alias("b")))
+    labels = materialise(components(links), "labels")
+    # nodes of a bucket that have not been held against all its others
+    waiting = held.select("bucket", "node")
     while True:
-        labels = components(links)
-        known = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = open_.where((F.col("low") != F.col("high"))).select("bucket")
-        known = known.join(open_, "bucket")
-        ranks = known.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-        ranks = materialise(ranks.where((F.col("size") > turn + 1) & ((F.col("size") > SMALL) | F.lit(turn == 0))), "open")
-        left = ranks.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("rank").alias("rb"), "size")
-        right = ranks.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        # small buckets at once; larger ones against this turn's pivot
-        pivots = right.where((F.col("ra") == turn + 1))
-        pairs = left.where(F.col("size") > SMALL).join(pivots, "bucket").where("rb > ra and ca != cb").select("a", "b")
-        if turn == 0:
-            small = left.where(F.col("size") <= SMALL)
-            pairs = pairs.union(small.join(right, "bucket").where("rb > ra and ca != cb").select("a", "b"))
-        fresh = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if fresh.isEmpty():
-            if ranks.where(F.col("size") > max(SMALL, turn + 2)).isEmpty():
-                return labels
-        else:
-            found = materialise(verify(fresh), "verified")
-            links, tried = links.union(found), tried.union(fresh)
-        turn += 1
+        known = waiting.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        known = materialise(known.join(largest.select("bucket", F.col("top.component").alias("top")), "bucket"), "open")
+        if known.isEmpty():
+            return labels
+        outside = known.where(F.col("component") != F.col("top"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        pivots = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")), "pivots")
+        pairs = known.join(pivots, "bucket").where(F.col("component") != F.col("ca"))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        found = materialise(verify(pairs), "verified")
+        waiting = known.join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        if not found.isEmpty():
+            labels = materialise(joined_components(labels, found), "labels")
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after some more links between nodes of their components."""
+    first = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    second = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = links.join(first, "a", "left").join(second, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    fresh = merged.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("into").alias("component"))
+    return moved.union(fresh)
