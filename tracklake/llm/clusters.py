@@ -1,10 +1,16 @@
 """Components of verified links among nodes that share buckets.
 
-No step lists all pairs of a bucket.  First each node is held against the
-bucket's smallest node that it shares most buckets with.  Then, in turns, the
-nodes outside a bucket's largest component are held against all its nodes, a
-bounded number of them in a turn, until every two nodes that still are in
-different components have been held against each other.
+No step lists all pairs of a bucket.  A node has a weight, and a part of it
+that any other text can share at all; two nodes can reach a similarity t only
+if both shared parts reach t / (1 + t) times the sum of their weights.  Nodes
+without such a partner in a bucket leave it, which is exact and empties the
+clouds of loosely related texts.
+
+First each node is held against the most central node (the one with the most
+company in its buckets) that it shares most buckets with.  Then, in turns, the nodes
+outside a bucket's largest component are held against its other nodes, a
+bounded number of them in a turn, until every two nodes that can be similar
+are connected or have been held against each other.
 """
 
 from __future__ import annotations
@@ -53,21 +59,35 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def verified_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def verified_components(members: DataFrame, weights: DataFrame, sets: DataFrame, similarity: float, verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """node, component for nodes with a verified link.
 
-    members: node (long), bucket (long), distinct.  verify: gets distinct pairs
-    (a, b) and returns those that hold.  Every two nodes of a bucket are
-    verified, or connected already, when this ends.
+    members: node, bucket (long), distinct.  weights: node, total and shared
+    weight.  sets: what ``verify`` needs of each node.  verify: gets distinct
+    pairs (a, b) and the sets, and returns the pairs that hold.  Every two
+    nodes of a bucket that can be similar are verified, or connected already,
+    when this ends.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1").drop("size")
-    held = materialise(members.join(sizes, "bucket"), "members")
-    shared = held.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    part = similarity / (1 + similarity) * (1 - 1e-6)
+    can = lambda total, shared, pt, ps: F.least(shared, ps) >= part * (F.col(total) + F.col(pt))
+    common = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    weighed = materialise(members.join(common, "bucket").join(weights, "node"), "members")
+    least = weighed.groupBy("bucket").agg(F.min("total").alias("least"))
+    able = weighed.join(least, "bucket").where(F.col("shared") >= part * (F.col("total") + F.col("least"))).drop("least")
+    # the most central node of a bucket has the most company in all its buckets
+    sizes = able.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    company = able.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
+    placed = materialise(able.join(sizes.select("bucket"), "bucket").join(company, "node"), "able")
+    pivots = placed.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("less"), "total", "shared")).alias("p"))
+    held = placed.join(pivots.select("bucket", (-F.col("p.less")).alias("pivot"), F.col("p.total").alias("pt"), F.col("p.shared").alias("ps")), "bucket")
+    sets = materialise(sets.join(placed.select("node").distinct(), "node", "left_semi"), "sets")
+
+    shared = held.where((F.col("node") != F.col("pivot")) & can("total", "shared", "pt", "ps")).groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("less"))).alias("best"))
-    links = verify(best.select((-F.col("best.less")).alias("a"), F.col("node").alias("b")))
+    links = verify(best.select((-F.col("best.less")).alias("a"), F.col("node").alias("b")), sets)
     labels = materialise(components(links), "labels")
     # nodes of a bucket that have not been held against all its others
-    waiting = held.select("bucket", "node")
+    waiting = placed.select("bucket", "node", "total", "shared", "company")
     while True:
         known = waiting.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -76,12 +96,12 @@ def verified_components(members: DataFrame, verify: Callable[[DataFrame], DataFr
         if known.isEmpty():
             return labels
         outside = known.where(F.col("component") != F.col("top"))
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        pivots = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")), "pivots")
-        pairs = known.join(pivots, "bucket").where(F.col("component") != F.col("ca"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("company").desc(), "node"))
+        turn = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("total").alias("pt"), F.col("shared").alias("ps")), "turn")
+        pairs = known.join(turn, (known["bucket"] == turn["bucket"]) & (F.col("component") != F.col("ca")) & can("total", "shared", "pt", "ps"))
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = materialise(verify(pairs), "verified")
-        waiting = known.join(pivots.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        found = materialise(verify(pairs, sets), "verified")
+        waiting = known.join(turn.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "total", "shared", "company")
         if not found.isEmpty():
             labels = materialise(joined_components(labels, found), "labels")
 

@@ -83,7 +83,7 @@ def weighted_jaccard(a: bytes, b: bytes, weight_a: float, weight_b: float) -> fl
 
 
 _ITEM = np.dtype([("hash", "<u8"), ("weight", "<f4")])
-_FOUND = "doc_id long, low long, high long, total double, items binary, bands array<long>"
+_FOUND = "doc_id long, low long, high long, total double, shared double, items binary, bands array<long>"
 
 
 def _signatures(n_docs: int, similarity: float, bands: int, rows: int):
@@ -100,35 +100,36 @@ def _signatures(n_docs: int, similarity: float, bands: int, rows: int):
         common = part[ends] - part[ends - texts.counts]
         able = (texts.counts > 0) & (common >= (similarity - 1e-6) * total)
         rows_ = []
-        seen: dict[tuple[int, int], tuple[bytes, list[int], float]] = {}
+        seen: set[tuple[int, int]] = set()
         for i, ok in enumerate(able.tolist()):
             if not ok:
-                rows_.append((None, None, None, None, None))
+                rows_.append((None,) * 6)
                 continue
             at = slice(int(ends[i] - texts.counts[i]), int(ends[i]))
             h = texts.hashes[at]
             key = int(mix64(h).sum(dtype=np.uint64).astype(np.int64)), int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-            if key not in seen:
-                element, where, times = np.unique(h, return_index=True, return_counts=True)
-                weight = (times * idf[at][where]).astype(np.float32)
-                items = np.empty(len(element), _ITEM)
-                items["hash"], items["weight"] = element, weight
-                items = items[shared[at][where]]
-                buckets = band_keys(consistent_samples(element, weight.astype(np.float64), bands * rows), bands)
-                seen[key] = items.tobytes(), buckets.view(np.int64).tolist(), float(weight.sum(dtype=np.float64))
-            items, buckets, weight = seen[key]
-            rows_.append((*key, weight, items, buckets))
-        columns = list(zip(*rows_, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+            if key in seen:  # the set stands with its first text of the run
+                rows_.append((*key, None, None, None, None))
+                continue
+            seen.add(key)
+            element, where, times = np.unique(h, return_index=True, return_counts=True)
+            weight = (times * idf[at][where]).astype(np.float32)
+            items = np.empty(len(element), _ITEM)
+            items["hash"], items["weight"] = element, weight
+            items = items[shared[at][where]]
+            buckets = band_keys(consistent_samples(element, weight.astype(np.float64), bands * rows), bands)
+            rows_.append((*key, float(weight.sum(dtype=np.float64)), float(items["weight"].sum(dtype=np.float64)), items.tobytes(), buckets.view(np.int64).tolist()))
+        columns = list(zip(*rows_, strict=True)) or [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
         yield pa.record_batch(
             [texts.rows.column("doc_id").combine_chunks().cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-            names=["doc_id", "low", "high", "total", "items", "bands"],
+            names=["doc_id", "low", "high", "total", "shared", "items", "bands"],
         )
 
     return run
 
 
-def _verifier(sets: DataFrame, similarity: float):
+def _verifier(similarity: float):
     """Pairs (a, b) of nodes whose weighted Jaccard similarity holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,8 @@ def _verifier(sets: DataFrame, similarity: float):
             holds = [i for i, (x, y, p, q) in enumerate(values) if weighted_jaccard(x.as_py(), y.as_py(), p.as_py(), q.as_py()) >= similarity]
             yield pa.record_batch([pa.array([a[i] for i in holds], pa.int64()), pa.array([b[i] for i in holds], pa.int64())], names=["a", "b"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sets = sets.dropDuplicates(["node"])
         first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"), F.col("total").alias("total_a"))
         second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("total").alias("total_b"))
         return pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b", "total_a", "total_b").mapInArrow(run, "a long, b long")
@@ -157,11 +159,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, ba
     found = materialise(with_frequencies(source, _signatures(n_docs, similarity, bands, rows), _FOUND, width), "signatures")
     able = found.where("low is not null and doc_id is not null")
     classes = materialise(able.groupBy("low", "high").agg(F.min("doc_id").alias("node")), "classes")
-    # one row of a class stands for it; equal ids with other texts are told apart by the key
-    first = found.select("doc_id", "low", "high", "bands").join(classes.withColumnRenamed("node", "doc_id"), ["low", "high", "doc_id"]).groupBy(F.col("doc_id").alias("node")).agg(F.first("bands").alias("bands"))
-    members = first.select("node", F.explode("bands").alias("bucket")).distinct()
-    sets = found.select(F.col("doc_id").alias("node"), "low", "high", "items", "total").join(classes, ["low", "high", "node"]).dropDuplicates(["node"])
-    linked = verified_components(members, _verifier(sets.select("node", "items", "total"), similarity))
+    # equal texts may be described in several runs; one description is enough
+    described = found.where("bands is not null").join(classes, ["low", "high"])
+    chosen = materialise(described.select("node", "total", "shared", "bands").dropDuplicates(["node"]), "nodes")
+    members = chosen.select("node", F.explode("bands").alias("bucket"))
+    sets = described.select("node", "items", "total")
+    linked = verified_components(members, chosen.select("node", "total", "shared"), sets, similarity, _verifier(similarity))
     classes = classes.join(linked, "node", "left").select("low", "high", F.coalesce("component", "node").alias("class_id"))
     joined = found.select("doc_id", "low", "high").join(classes, ["low", "high"], "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")

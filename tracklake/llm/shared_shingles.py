@@ -53,7 +53,7 @@ def _binary(table: pa.Table, column: str) -> list[bytes]:
     return table.column(column).to_pylist()
 
 
-def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordBatch]], schema: str, width: int = 5, spread: int = 4) -> DataFrame:
+def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordBatch]], schema: str, width: int = 5, spread: int = 2) -> DataFrame:
     """Apply ``fn`` to all rows of ``docs`` (doc_id, text and any others).
 
     ``spread`` times as many buckets and parts are used as shuffle partitions.

@@ -87,7 +87,7 @@ def _paragraphs(begin: np.ndarray, low: int, high: int) -> list[tuple[int, int]]
     return list(zip(edges, [*edges[1:], high], strict=True))
 
 
-_FOUND = "doc_id long, start long, end long, n_words int, node long, items binary"
+_FOUND = "doc_id long, start long, end long, n_words int, node long, shared int, items binary"
 
 
 def _finder(least_words: int, width: int):
@@ -124,11 +124,11 @@ def _finder(least_words: int, width: int):
                             end += 1
                     node = int.from_bytes(hashlib.blake2b(hashed[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
                     at = first_shingle + a - first_word
-                    items = np.unique(texts.hashes[at: at + b - a - width + 1])
-                    rows.append((ids[i], int(chars[start]), int(chars[end]), b - a, node, items.astype("<u8").tobytes()))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "n_words", "node", "items"])
+                    items, where = np.unique(texts.hashes[at: at + b - a - width + 1], return_index=True)
+                    rows.append((ids[i], int(chars[start]), int(chars[end]), b - a, node, int(shared[at + where].sum()), items.astype("<u8").tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "n_words", "node", "shared", "items"])
 
     return run
 
@@ -140,18 +140,18 @@ def _bander(bands: int, rows: int):
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
-                nodes, buckets = [], []
-                for node, items in zip(batch.column("node").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                buckets = [np.zeros(0, np.int64)]
+                for items in batch.column("items").to_pylist():
                     hashed = np.frombuffer(items, "<u8")
                     least = mix64(hashed[:, None] ^ seeds[None, :]).min(axis=0)
                     buckets.append(band_keys(least, bands).view(np.int64))
-                    nodes += [node] * bands
-                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(np.concatenate(buckets) if buckets else np.zeros(0, np.int64))], names=["node", "bucket"])
+                again = np.repeat(np.arange(batch.num_rows), bands)
+                yield pa.record_batch([batch.column("node").take(pa.array(again)), pa.array(np.concatenate(buckets))], names=["node", "bucket"])
 
     return run
 
 
-def _verifier(sets: DataFrame, similarity: float):
+def _verifier(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -163,7 +163,7 @@ def _verifier(sets: DataFrame, similarity: float):
                     holds.append(i)
             yield pa.record_batch([pa.array([a[i] for i in holds], pa.int64()), pa.array([b[i] for i in holds], pa.int64())], names=["a", "b"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
         return pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
@@ -179,11 +179,14 @@ def repeated_passages(docs: DataFrame, least_words: int = 40, similarity: float
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialise(with_frequencies(source, _finder(least_words, width), _FOUND, width), "paragraphs")
-    sets = materialise(found.groupBy("node").agg(F.first("items").alias("items")), "nodes")
+    sets = found.groupBy("node").agg(F.first(F.struct("shared", "items")).alias("first")).select("node", "first.*")
+    sets = materialise(sets.withColumns({"total": F.length("items") / 8, "shared": F.col("shared").cast("double")}), "nodes")
     bands, rows = tune_bands(similarity, recall)
-    members = sets.mapInArrow(_bander(bands, rows), "node long, bucket long").distinct()
-    linked = verified_components(members, _verifier(sets, similarity))
-    placed = found.drop("items").join(linked, "node", "left").select("doc_id", "start", "end", "n_words", F.coalesce("component", "node").alias("cluster_id"))
+    # a node whose shared shingles can't reach the similarity needs no buckets
+    able = sets.where(F.col("shared") >= similarity * F.col("total"))
+    members = able.select("node", "items").mapInArrow(_bander(bands, rows), "node long, bucket long")
+    linked = verified_components(members, able.select("node", "total", "shared"), sets.select("node", "items"), similarity, _verifier(similarity))
+    placed = found.drop("items", "shared").join(linked, "node", "left").select("doc_id", "start", "end", "n_words", F.coalesce("component", "node").alias("cluster_id"))
     placed = materialise(placed, "clusters")
     firsts = placed.groupBy("cluster_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") != F.col("last"))
     return placed.join(firsts, "cluster_id").select(
