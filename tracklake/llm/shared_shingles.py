@@ -3,8 +3,8 @@
 Texts are dealt to buckets by a hash of the row.  Each bucket sends the
 distinct hashes of its shingles, with the number of its texts that hold them,
 to parts of the hash space as packed arrays; a part sums them up and sends the
-frequencies of those in two or more texts back to the buckets.  There, a
-function gets the bucket's texts, their shingles and their frequencies.
+frequencies of those in two or more texts back to the buckets, as marks in the
+order of the bucket's own hashes.  There, a function gets the bucket's texts, their shingles and their frequencies.
 
 A frequent shingle is one entry per bucket, so no part gathers a row for each
 text that holds it, and neither buckets nor parts grow if shuffle partitions
@@ -112,30 +112,27 @@ def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordB
         ends = np.cumsum(sizes)
         buckets, packs, totals = [], [], []
         for b, low, high in zip(part.column("bucket").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-            shared = np.flatnonzero(total[low:high] > 1) + low
-            if len(shared):
+            shared = total[low:high] > 1
+            if shared.any():
                 buckets.append(b)
-                packs.append(_packed(value[shared]))
-                totals.append(np.minimum(total[shared], 0xFFFFFFFF).astype("<u4").tobytes())
+                packs.append(np.packbits(shared).tobytes())
+                totals.append(np.minimum(total[low:high][shared], 0xFFFFFFFF).astype("<u4").tobytes())
         p = part.column("part")[0].as_py()
         return pa.table({"_bucket": pa.array(buckets, pa.int32()), "part": pa.array([p] * len(buckets), pa.int32()), "packed": pa.array(packs, pa.binary()), "texts": pa.array(totals, pa.binary())})
 
     def give(texts: pa.Table, sums: pa.Table) -> pa.Table:
-        parts = sums.column("part").to_numpy()
-        order = np.argsort(parts, kind="stable").tolist()
-        packs, totals = _binary(sums, "packed"), _binary(sums, "texts")
-        known = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(packs[i]) | np.uint64(int(parts[i]) << LOW) for i in order)])
-        frequency = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(totals[i], "<u4").astype(np.int64) for i in order)])
+        # the bucket's distinct hashes in the order in which count() sent them
+        read = [(low, words, *shingles(words, width)) for low, words in word_runs(texts.column("text"))]
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(hashed >> shift for _, _, hashed, _ in read)]))
+        frequency = np.ones(len(known), np.int64)
+        cuts = np.searchsorted(known >> np.uint64(LOW), np.arange((1 << bits) + 1, dtype=np.uint64))
+        for p, marks, totals in zip(sums.column("part").to_pylist(), _binary(sums, "packed"), _binary(sums, "texts"), strict=True):
+            size = int(cuts[p + 1] - cuts[p])
+            shared = np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8), count=size))
+            frequency[cuts[p] + shared] = np.frombuffer(totals, "<u4")
         done = []
-        for low, words in word_runs(texts.column("text")):
-            hashed, counts = shingles(words, width)
-            value = hashed >> shift
-            number = np.ones(len(value), np.int64)
-            if len(known):
-                at = np.searchsorted(known, value)
-                at[at == len(known)] = 0
-                same = known[at] == value
-                number[same] = frequency[at[same]]
+        for low, words, hashed, counts in read:
+            number = frequency[np.searchsorted(known, hashed >> shift)]
             done += fn(Shared(texts.slice(low, len(counts)), words, hashed, counts, number))
         return pa.Table.from_batches(done)
 
