@@ -108,19 +108,22 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, least_z:
     if len(sets) < 2 or len(np.unique(grades)) < 2:
         return model
     top = grades == grades.max()
-    size = np.array([len(s) for s in sets])
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    one = np.bincount(flat, weights=top[row], minlength=1 << BITS)
-    all_ = np.bincount(flat, minlength=1 << BITS)
+    one, all_ = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for low in range(0, len(sets), 1000):
+        part = sets[low: low + 1000]
+        ids, good = np.concatenate(part), np.repeat(top[low: low + 1000], [len(s) for s in part])
+        all_ += np.bincount(ids, minlength=1 << BITS)
+        one += np.bincount(ids[good], minlength=1 << BITS)
     n, n1 = len(sets), int(top.sum())
     share = all_ / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
     z = (one / n1 - (all_ - one) / (n - n1)) / error
     model.features = np.flatnonzero((np.abs(z) >= least_z) & (all_ >= least_n))
-    index = np.full(1 << BITS, -1)
+    index = np.full(1 << BITS, -1, np.int32)
     index[model.features] = np.arange(len(model.features))
-    used = index[flat] >= 0
-    column, row = index[flat[used]], row[used]
+    columns = [index[s] for s in sets]
+    columns = [c[c >= 0] for c in columns]
+    column, row = np.concatenate(columns), np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns])
     # full-gradient descent with a step per coordinate (squared gradients summed up)
     w = np.zeros(len(model.features))
     levels = n_grades - 1
@@ -182,7 +185,8 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 20_000, **options) ->
     joined = source.join(F.broadcast(chosen), "doc_id").select("text", "grade")
     found = {(r["grade"], bytes(r["features"])) for r in feature_sets(joined).toLocalIterator()}
     rows = sorted(found)
-    return fit([np.frombuffer(f, "<i4").astype(np.int64) for _, f in rows], np.array([g for g, _ in rows], np.int64), **options)
+    del found
+    return fit([np.frombuffer(f, "<i4") for _, f in rows], np.array([g for g, _ in rows], np.int64), **options)
 
 
 def _scorer(model: OrdinalModel):
