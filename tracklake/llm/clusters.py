@@ -6,11 +6,13 @@ if both shared parts reach t / (1 + t) times the sum of their weights.  Nodes
 without such a partner in a bucket leave it, which is exact and empties the
 clouds of loosely related texts.
 
-First each node is held against the most central node (the one with the most
-company in its buckets) that it shares most buckets with.  Then, in turns, the nodes
-outside a bucket's largest component are held against its other nodes, a
-bounded number of them in a turn, until every two nodes that can be similar
-are connected or have been held against each other.
+First, the nodes of a bucket are laid in a line, sorted by a min-hash of their
+other buckets, so that nodes with much in common stand together; each is held
+against the few before it.  Then, in turns, the nodes outside a bucket's
+largest component are held against its other nodes, a bounded number of them
+in a turn, until every two nodes that can be similar are connected or have
+been held against each other.  Two nodes meet in the least of the buckets that
+they share, and there alone.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from .common import materialise
 
 #: So many nodes of a bucket are held against its other nodes in one turn.
 PIVOTS = 64
+#: So many nodes before it in the line is each node held against.
+NEIGHBOURS = 2
+#: Larger buckets are laid in several lines of about so many nodes.
+LINE = 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,25 +75,29 @@ def verified_components(members: DataFrame, weights: DataFrame, sets: DataFrame,
     when this ends.
     """
     part = similarity / (1 + similarity) * (1 - 1e-6)
-    can = lambda total, shared, pt, ps: F.least(shared, ps) >= part * (F.col(total) + F.col(pt))
+    can = lambda total, shared, pt, ps: F.least(shared, ps) >= part * (total + pt)
     common = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     weighed = materialise(members.join(common, "bucket").join(weights, "node"), "members")
     least = weighed.groupBy("bucket").agg(F.min("total").alias("least"))
     able = weighed.join(least, "bucket").where(F.col("shared") >= part * (F.col("total") + F.col("least"))).drop("least")
-    # the most central node of a bucket has the most company in all its buckets
-    sizes = able.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    company = able.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
-    placed = materialise(able.join(sizes.select("bucket"), "bucket").join(company, "node"), "able")
-    pivots = placed.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("less"), "total", "shared")).alias("p"))
-    held = placed.join(pivots.select("bucket", (-F.col("p.less")).alias("pivot"), F.col("p.total").alias("pt"), F.col("p.shared").alias("ps")), "bucket")
+    sized = able.join(able.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
+    # a node's buckets: as many as there are bands
+    nodes = sized.groupBy("node").agg(F.sum("n").alias("company"), F.collect_list("bucket").alias("buckets"))
+    placed = materialise(sized.join(nodes, "node"), "able")
     sets = materialise(sets.join(placed.select("node").distinct(), "node", "left_semi"), "sets")
 
-    shared = held.where((F.col("node") != F.col("pivot")) & can("total", "shared", "pt", "ps")).groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("less"))).alias("best"))
-    links = verify(best.select((-F.col("best.less")).alias("a"), F.col("node").alias("b")), sets)
+    others = F.filter("buckets", lambda x: x != F.col("bucket"))
+    alike = F.array_sort(F.transform(others, lambda x: F.xxhash64(x, F.col("bucket"))))
+    line = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LINE))).orderBy("alike", "node")
+    lined = placed.withColumn("alike", alike).select(
+        "node", "total", "shared", F.array(*(F.lag(F.struct("node", "total", "shared"), k).over(line) for k in range(1, NEIGHBOURS + 1))).alias("near")
+    )
+    able_near = F.filter("near", lambda x: can(F.col("total"), F.col("shared"), x["total"], x["shared"]))
+    near = lined.select("node", F.explode(able_near).alias("other"))
+    links = verify(near.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct(), sets)
     labels = materialise(components(links), "labels")
     # nodes of a bucket that have not been held against all its others
-    waiting = placed.select("bucket", "node", "total", "shared", "company")
+    waiting = placed.select("bucket", "node", "total", "shared", "company", "buckets")
     while True:
         known = waiting.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -97,11 +107,16 @@ def verified_components(members: DataFrame, weights: DataFrame, sets: DataFrame,
             return labels
         outside = known.where(F.col("component") != F.col("top"))
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("company").desc(), "node"))
-        turn = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("total").alias("pt"), F.col("shared").alias("ps")), "turn")
-        pairs = known.join(turn, (known["bucket"] == turn["bucket"]) & (F.col("component") != F.col("ca")) & can("total", "shared", "pt", "ps"))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        turn = materialise(outside.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select(
+            F.col("bucket").alias("at"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("total").alias("pt"), F.col("shared").alias("ps"), F.col("buckets").alias("pb")
+        ), "turn")
+        known = known.join(turn.select(F.col("at").alias("bucket"), F.col("a").alias("node"), F.lit(True).alias("turned")), ["bucket", "node"], "left")
+        once = F.col("turned").isNull() | (F.col("node") < F.col("a"))
+        here = F.array_min(F.array_intersect("buckets", "pb")) == F.col("at")
+        pairs = known.join(turn, (F.col("bucket") == F.col("at")) & (F.col("component") != F.col("ca")) & once & can(*map(F.col, ("total", "shared", "pt", "ps"))) & here)
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         found = materialise(verify(pairs, sets), "verified")
-        waiting = known.join(turn.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "total", "shared", "company")
+        waiting = known.where("turned is null").select("bucket", "node", "total", "shared", "company", "buckets")
         if not found.isEmpty():
             labels = materialise(joined_components(labels, found), "labels")
 
