@@ -1,10 +1,12 @@
 """The corpus operators against brute force, and on odd rows."""
 
 import hashlib
+import math
 import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tracklake.llm import html_extract, license_scan, media_chunks, mixing, near_dup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from tracklake.llm import clusters, html_extract, license_scan, media_chunks, mixing, near_dup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 from tracklake.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 
 DATA = "/root/testdata/sf0.001"
@@ -103,6 +105,33 @@ def test_near_duplicates(docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_by_brute_force(spark, monkeypatch):
+    # small turns and lines, so that both are used many times
+    monkeypatch.setattr(clusters, "PIVOTS", 3)
+    monkeypatch.setattr(clusters, "LINE", 8)
+    rng, texts = random.Random(11), []
+    for base in range(3):
+        words = prose(150, 50 + base).split()
+        for _ in range(40):
+            text = list(words)
+            for at in rng.sample(range(150), rng.randrange(9)):
+                text[at] = f"new{rng.randrange(10**6)}"
+            texts.append(text)
+    sets = [Counter(tuple(t[i: i + 5]) for i in range(len(t) - 4)) for t in texts]
+    df, n = Counter(x for s in sets for x in s), len(texts)
+    weights = [{x: k * (1 + math.log((1 + n) / (1 + df[x])) / math.log(1 + n)) for x, k in s.items()} for s in sets]
+    classes = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            common = sum(min(w, weights[j].get(x, 0)) for x, w in weights[i].items())
+            if common >= 0.8 * (sum(weights[i].values()) + sum(weights[j].values()) - common):
+                old, new = max(classes[i], classes[j]), min(classes[i], classes[j])
+                classes = [new if c == old else c for c in classes]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == dict(enumerate(classes))
+    assert 3 < len(set(classes)) < n
+
+
 def test_consistent_samples_follow_the_weights():
     element = np.arange(200, dtype=np.uint64) * np.uint64(7919)
     a, b = np.ones(200), np.ones(200)
