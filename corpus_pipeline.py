@@ -58,7 +58,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express these stages; the tests hold them against brute force.
+#: SQL can't express these stages. Near duplicates are tested against brute force, the
+#: classifier on held-out rows, the others and the whole on small cases and invariants only.
 ORACLE_SQL = None
 
 
