@@ -192,6 +192,28 @@ def test_mixing_reaches_its_targets(spark, empty):
     assert mixing.mix(empty, labelled, {"p": 0.5, "q": 0.5}).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.0, 1.0])
+@pytest.mark.parametrize("tokens", [(9300, 400, 200, 100), (8500, 600, 500, 400)])
+def test_mixing_raises_small_domains(spark, least, tokens):
+    # a domain at 1 % of the tokens; posteriors pure, then soft
+    shares = [0.55, 0.15, 0.15, 0.15]
+    for soft in (0.0, 0.02):
+        rows = [(k, n // 20, *((1 - 3 * soft if i == d else soft) for i in range(4))) for d, n in enumerate(tokens) for k in range(20)]
+        members = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, p0 double, p1 double, p2 double, p3 double")
+        rate, found, met = mixing.fit_rates(members, shares, least)
+        got = members.withColumn("rate", rate).collect()
+        totals = [sum(r["n_tokens"] * r["rate"] * r[f"p{i}"] for r in got) for i in range(4)]
+        assert met and all(r["rate"] >= least for r in got)
+        assert max(abs(t / sum(totals) - s) for t, s in zip(totals, shares)) < 5e-4
+        assert max(abs(a - t / sum(totals)) for a, t in zip(found, totals)) < 1e-9
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    members = spark.createDataFrame([(i, 100, 0.9, 0.1) for i in range(10)], "doc_id bigint, n_tokens bigint, p0 double, p1 double")
+    _, found, met = mixing.fit_rates(members, [0.5, 0.5], 1.0)
+    assert not met and abs(found[1] - 0.1) < 1e-6
+
+
 def test_classifier_on_held_out_rows(spark, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rated = quality_classifier.ratings(labels)

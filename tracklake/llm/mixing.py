@@ -2,10 +2,12 @@
 
 A naive Bayes classifier over hashed words, counted on a labelled table, gives
 each text its posteriors over the domains.  Each text then gets a rate (its
-expected number of copies), by projected-gradient least squares: the expected
-token totals of the domains, sum of rate * tokens * posterior, are drawn to
-their targets while a rate below its floor is set to the floor.  A gradient
-step needs only the totals of the domains, one small aggregate over all texts.
+expected number of copies), by projected least squares: the expected token
+totals of the domains, sum of rate * tokens * posterior, are drawn to their
+targets while a rate below its floor is set to the floor.  Gradient steps are
+scaled by the inverse Gram matrix and go on until every domain's miss is below
+TOLERANCE; a fit that can't get there warns with the shares it has.  A step
+needs only totals of the domains, one small aggregate over all texts.
 
 Everything is DataFrame functions.  A rate is realised as its whole part, and
 one copy more for a hash of the id below the rest.
@@ -20,7 +22,9 @@ empty result.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,12 @@ BUCKETS = 4096
 SAMPLE = 20_000
 #: Target share of tokens by domain.
 TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
+#: Newton steps at most; a fit that has not met its targets by then is reported.
 STEPS = 24
+#: Largest miss of a domain, as a part of all tokens after the fit.
+TOLERANCE = 1e-4
+#: Weight of the rates' distance from 1 against the squared misses.
+RIDGE = 1e-7
 
 
 def _words(text: str = "text") -> Column:
@@ -77,49 +86,98 @@ def posteriors(docs: DataFrame, weight: DataFrame, priors: list[float]) -> DataF
     return shifted.select("doc_id", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in range(n)))
 
 
-def rate_expression(history: list[list[float]], n: int, least: float) -> Column:
-    """The rate after the steps so far: each is a projected gradient step.
+def rate_expression(pull: list[float], least: float, shares: list[float] | None = None) -> Column:
+    """The rate for these multipliers of the domains, not below its floor.
 
-    A step's coefficients hold the step size times the domains' misses.
+    With ``shares``, a multiplier counts by how far the posterior is above its share.
     """
-    rate = F.greatest(F.lit(1.0), F.lit(least))
-    for step in history:
-        move = sum((F.lit(step[i]) * F.col(f"p{i}") for i in range(1, n)), F.lit(step[0]) * F.col("p0"))
-        rate = F.greatest(F.lit(least), rate - move)
-    return rate
+    above = shares or [0.0] * len(pull)
+    rate = F.lit(1.0)
+    for i, (x, share) in enumerate(zip(pull, above, strict=True)):
+        rate = rate + F.lit(float(x)) * (F.col(f"p{i}") - F.lit(share))
+    return F.greatest(F.lit(float(least)), rate)
 
 
-def fit_rates(members: DataFrame, shares: list[float], least: float = 0.0, steps: int = STEPS) -> tuple[Column, list[float]]:
-    """(rate of each text, expected share of each domain after the fit).
+def _solve(members: DataFrame, target: list[float], scale: float, least: float, steps: int, shares: list[float] | None = None) -> tuple[list[float], list[float], bool]:
+    """(multipliers, token totals of the domains, whether the misses are within TOLERANCE).
 
-    Least squares over the misses of the domains' token totals, in units of
-    their targets, whose sum is the least that reaches the targets without
-    lowering any domain.  The step size comes from the norm of the domains'
-    Gram matrix, which one aggregate gives.
+    Newton's method with halved steps on the dual of the least squares, which
+    is convex and differentiable: its gradient is the misses, its second
+    derivative the Gram matrix of the texts above their floor.  A step that
+    goes down is one aggregate over all texts.
+    """
+    n = len(target)
+    tokens = F.col("n_tokens").cast("double")
+    above = shares or [0.0] * n
+    v = [F.col(f"p{i}") - F.lit(above[i]) for i in range(n)]
+
+    def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
+        rate = rate_expression(pull.tolist(), least, shares)
+        force = sum((F.lit(float(pull[i])) * v[i] for i in range(n)), F.lit(0.0))
+        free = F.when(1 + force >= least, tokens).otherwise(0.0)
+        row = members.agg(
+            F.sum(tokens * (rate * force - (rate - 1) * (rate - 1) / 2)),
+            *(F.sum(tokens * rate * F.col(f"p{i}")) for i in range(n)),
+            *(F.sum(free * v[i] * v[j]) for i in range(n) for j in range(i, n)),
+        ).first()
+        found = [x or 0.0 for x in row]
+        totals = found[1: n + 1]
+        gram = np.zeros((n, n))
+        gram[np.triu_indices(n)] = found[n + 1:]
+        gram = (gram + np.triu(gram, 1).T) / scale + RIDGE * np.eye(n)
+        miss = (np.array(totals) - sum(totals) * np.array(above) - np.array(target)) / scale
+        value = found[0] / scale - float(pull @ np.array(target)) / scale + RIDGE / 2 * float(pull @ pull)
+        return value, miss, gram, totals
+
+    pull = np.zeros(n)
+    value, miss, gram, totals = look(pull)
+    for _ in range(steps):
+        if np.abs(miss).max() < TOLERANCE:
+            return pull.tolist(), totals, True
+        slope = miss + RIDGE * pull
+        move = -np.linalg.solve(gram, slope)
+        if float(-slope @ move) < 1e-15:
+            break
+        part = 1.0
+        while part > 1e-6:
+            tried = look(pull + part * move)
+            if tried[0] <= value + 1e-4 * part * float(slope @ move):
+                break
+            part /= 2
+        else:
+            break
+        pull = pull + part * move
+        value, miss, gram, totals = tried
+    return pull.tolist(), totals, bool(np.abs(miss).max() < TOLERANCE)
+
+
+def fit_rates(members: DataFrame, shares: list[float], least: float = 0.0, steps: int = STEPS) -> tuple[Column, list[float], bool]:
+    """(rate of each text, expected share of each domain, whether they meet ``shares``).
+
+    Least squares over the misses of the domains' token totals, and among
+    the rates that reach them those nearest to 1.  The total is the least that
+    reaches the targets without lowering any domain; if the floor makes that
+    impossible, as every text counts a little for the largest domain, it is free.
+    Targets outside of what the posteriors span are not met: the rates are
+    then the nearest of the first total.
     """
     n = len(shares)
     tokens = F.col("n_tokens").cast("double")
-    now = members.agg(*(F.sum(tokens * F.col(f"p{i}")).alias(f"t{i}") for i in range(n)), *(F.sum(tokens * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(n) for j in range(n))).first()
-    totals = [now[f"t{i}"] or 0.0 for i in range(n)]
+    now = members.agg(*(F.sum(tokens * F.col(f"p{i}")) for i in range(n))).first()
+    totals = [x or 0.0 for x in now]
     known = [i for i in range(n) if totals[i] > 0]
     if not known:
-        return F.greatest(F.lit(1.0), F.lit(least)), [0.0] * n
+        return F.greatest(F.lit(1.0), F.lit(float(least))), [0.0] * n, True
     goal = max(totals[i] / shares[i] for i in known)
     target = [shares[i] * goal if i in known else 0.0 for i in range(n)]
-    # rates are measured in token-weighted units, so that a text's length
-    # doesn't change its step: gradient_i = sum over domains of p_id * miss_d
-    gram = [[(now[f"g{i}_{j}"] or 0.0) / goal for j in range(n)] for i in range(n)]
-    size = max(sum(row) for row in gram)
-    history: list[list[float]] = []
-    for _ in range(steps):
-        history.append([(totals[i] - target[i]) / goal / size for i in range(n)])
-        rate = rate_expression(history, n, least)
-        row = members.agg(*(F.sum(tokens * F.col(f"p{i}") * rate).alias(f"t{i}") for i in range(n))).first()
-        totals = [row[f"t{i}"] or 0.0 for i in range(n)]
-        if max(abs(totals[i] - target[i]) for i in known) < 1e-4 * goal:
-            break
-    whole = sum(totals)
-    return rate_expression(history, n, least), [t / whole for t in totals]
+    pull, found, met = _solve(members, target, goal, least, steps)
+    rate = rate_expression(pull, least)
+    if not met and least > 0 and len(known) == n:
+        free, reached, met = _solve(members, [0.0] * n, sum(totals), least, steps, shares)
+        if met:
+            rate, found = rate_expression(free, least, shares), reached
+    whole = sum(found)
+    return rate, [t / whole for t in found], met and len(known) == n
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -142,9 +200,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     # a number for each row, so that repeated ids stay apart; used within one stage
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_row", F.monotonically_increasing_id())
     members = materialise(posteriors(source, weight, shares), "members")
-    rate, _ = fit_rates(members, shares, least, steps)
-    found = members.withColumn("rate", rate)
-    return found.select("doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    rate, found, met = fit_rates(members, shares, least, steps)
+    if not met:
+        said = ", ".join(f"{d} {x:.4f} of {s:.4f}" for d, x, s in zip(domains, found, shares, strict=True))
+        warnings.warn(f"the rates miss the target shares: {said}", stacklevel=2)
+    rated = members.withColumn("rate", rate)
+    return rated.select("doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang", sample: int = SAMPLE) -> DataFrame:
