@@ -264,6 +264,25 @@ def test_repeated_passages(docs, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_short_passage_in_a_document_with_copies(spark):
+    def new(n, name):
+        return " ".join(f"{name}w{i}" for i in range(n))
+
+    # the plain document first or last; then two passages that adjoin in one document
+    texts, passages = [], []
+    for k in range(30):
+        plain, copied = (f"{new(60, f'{side}a{k}')} {new(51, f'p{k}')} {new(60, f'{side}b{k}')}" for side in ("plain", "copied"))
+        late, copies = plain.replace(f"p{k}w", f"q{k}w"), copied.replace(f"p{k}w", f"q{k}w").replace("copied", "twice")
+        joined = f"{new(30, f'ja{k}')} {new(51, f'r{k}')} {new(51, f's{k}')} {new(30, f'jb{k}')}"
+        group = [plain, copied, copied, copies, copies, late, joined, new(40, f"ra{k}") + " " + new(51, f"r{k}"), new(51, f"s{k}") + " " + new(40, f"sa{k}")]
+        texts += [(100 * k + i, text) for i, text in enumerate(group)]
+        passages += [new(51, f"{x}{k}").split() for x in "pqrs"]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    left = Counter(w for r in substring_dedup.without_passages(docs, substring_dedup.repeated_passages(docs)).collect() for w in r["text"].split())
+    assert set(left) == {w for _, t in texts for w in t.split()}
+    assert all(left[w] == 1 for passage in passages for w in passage)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = docs.columns

@@ -3,9 +3,10 @@
 Exact document frequencies of five-word shingles show which stretches of a
 text stand in other texts too.  A stretch counts from ``least_words`` words
 on, if gaps between shared shingles stay small and most shingles are shared.
-It is cut into paragraphs at line ends and at words whose hash is the least of
-17 around, so that equal passages are cut alike wherever they stand, even
-inside a longer line.  Equal paragraphs are one node; nodes are banded by
+It is cut where the frequencies show that a passage of more texts begins or
+ends, then into paragraphs at line ends and at words whose hash is the least
+of 17 around, so that equal passages are cut alike wherever they stand, even
+inside a longer line or a wider stretch.  Equal paragraphs are one node; nodes are banded by
 MinHash, with bands tuned for recall, those that collide are joined, verified
 by exact Jaccard similarity, and clustered by components.  Of each cluster in
 two texts or more, the first occurrence stays.
@@ -18,9 +19,10 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,12 +80,38 @@ def stretches(shared: np.ndarray, least_words: int, width: int) -> list[tuple[in
     return found
 
 
-def _paragraphs(begin: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
-    """Cut [low, high) at the marked words; none gets under LEAST_PARAGRAPH words."""
-    edges = [low]
-    for i in (np.flatnonzero(begin[low:high]) + low).tolist():
-        if i - edges[-1] >= LEAST_PARAGRAPH and high - i >= LEAST_PARAGRAPH:
-            edges.append(i)
+def turns(frequency: np.ndarray, width: int) -> list[int]:
+    """Words of one text where a passage that more texts have begins or ends.
+
+    All LEAST_PARAGRAPH shingles on the passage's side are in more texts than
+    any of the ``width`` - 1 on the other side, which straddle the edge.
+    Within a passage, all its holders see the same frequencies.
+    """
+    few, many = width - 1, LEAST_PARAGRAPH
+    n = len(frequency)
+    if few < 1 or n < few + many:
+        return []
+    view = np.lib.stride_tricks.sliding_window_view
+    most, least = view(frequency, few).max(axis=1), view(frequency, many).min(axis=1)
+    begins = np.flatnonzero(most[: n - few - many + 1] < least[few:]) + few
+    ends = np.flatnonzero(least[: n - few - many + 1] > most[many:]) + many - 1 + width
+    return np.union1d(begins, ends).tolist()
+
+
+def _paragraphs(begin: np.ndarray, low: int, high: int, edges_of_passages: Iterable[int] = ()) -> list[tuple[int, int]]:
+    """Cut [low, high) at edges of passages, then at the marked words; none gets under LEAST_PARAGRAPH words."""
+    fixed = [low]
+    for i in edges_of_passages:
+        if i - fixed[-1] >= LEAST_PARAGRAPH and high - i >= LEAST_PARAGRAPH:
+            fixed.append(i)
+    fixed.append(high)
+    edges = []
+    for first, last in zip(fixed[:-1], fixed[1:], strict=True):
+        edges.append(first)
+        for i in (np.flatnonzero(begin[first:last]) + first).tolist():
+            # a word that decides about this cut may not lie behind the edge
+            if i - edges[-1] >= LEAST_PARAGRAPH and last - i > AROUND:
+                edges.append(i)
     return list(zip(edges, [*edges[1:], high], strict=True))
 
 
@@ -113,8 +141,10 @@ def _finder(least_words: int, width: int):
             text_begin, text_end = int(words.offsets[i]), int(words.offsets[i + 1])
             data = words.data[text_begin:text_end]
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            turned = [first_word + t for t in turns(texts.frequency[first_shingle: int(ends[i])], width)]
             for low, high in spots:
-                for a, b in _paragraphs(begin, first_word + low, first_word + high):
+                within = turned[bisect.bisect_right(turned, first_word + low): bisect.bisect_left(turned, first_word + high)]
+                for a, b in _paragraphs(begin, first_word + low, first_word + high, within):
                     start = int(words.start[a]) - text_begin
                     if b < first_word + high:
                         end = int(words.start[b]) - text_begin
