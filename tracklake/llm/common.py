@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system for a path, and the path as its object."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+#: Folder of each session, which goes when the session's process ends.
+_SESSIONS: dict[str, str] = {}
+#: Folder of each table that materialise() wrote.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This session's folder in the shared one; it is deleted when the driver's process ends."""
+    base = shared_dir(spark)
+    own = f"{base}/corpus-{spark.sparkContext.applicationId}"
+    if _SESSIONS.get(base) != own:
+        system, at = _file_system(spark, own)
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+        _SESSIONS[base] = own
+    return own
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -39,9 +66,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and readers prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[found] = path
+    return found
+
+
+def discard(*tables: DataFrame, collect: bool = False) -> None:
+    """Delete what materialise() wrote for these tables; no later plan may read them.
+
+    ``collect``: let the driver's JVM collect its garbage too, upon which Spark
+    drops the shuffle files of the steps behind these tables.
+    """
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path is not None:
+            system, at = _file_system(table.sparkSession, path)
+            system.delete(at, True)
+    if collect and tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
