@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -89,6 +92,49 @@ def discard(*tables: DataFrame, collect: bool = False) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+# --------------------------------------------------------------------------
+# Python steps
+# --------------------------------------------------------------------------
+
+#: Bytes of a batch that goes to a Python worker, whatever the number of its rows.
+BATCH = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of this session go by bytes: ten thousand long texts would not fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which an idle worker would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, whose worker gives its memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(whole, schema)
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """What tells a row: doc_id, and text_low and text_high, 128 bits of hash of its text."""
+    text = F.col("text").cast("string")
+    # a null text differs from an empty one
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, text.isNull()).alias("text_low"), F.xxhash64(F.lit("high"), text.isNull(), text).alias("text_high")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_low, text_high and text of every row."""
+    return docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -166,8 +212,10 @@ class Words:
             edges = offsets[(offsets > 0) & (offsets < n)]
             before[edges] = False
             after[edges - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
+        # runs are far below 2**31 bytes, but for a single text that is longer
+        kind = np.int32 if n < 1 << 31 else np.int64
+        self.start = np.flatnonzero(inside & ~before).astype(kind)
+        self.end = np.flatnonzero(inside & ~after).astype(kind) + kind(1)
         self.first = np.searchsorted(self.start, offsets)
 
     def __len__(self) -> int:
@@ -199,6 +247,14 @@ class Words:
         return self.data[self.offsets[i]: self.offsets[i + 1]]
 
 
+def sequence_hashes(hashed: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each run [begin, end) of word hashes: a polynomial over them."""
+    total = np.zeros(len(hashed) + 1, U64)
+    np.cumsum(hashed * _powers(_BASE, len(hashed)), out=total[1:])
+    value = (total[end] - total[begin]) * _powers(_INVERSE, len(hashed) + 1)[begin]
+    return mix64(value + (end - begin).astype(U64) * U64(0x8CB92BA72F3D8DD7))
+
+
 def word_hash(word: str) -> int:
     """The hash that :class:`Words` gives one word."""
     data = np.frombuffer(word.encode(), dtype=np.uint8)
@@ -220,7 +276,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of up to ``most`` bytes each (or one longer text)."""
     n = len(offsets) - 1
     low = 0
@@ -231,7 +287,7 @@ def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def word_runs(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20) -> Iterator[tuple[int, Words]]:
+def word_runs(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[tuple[int, Words]]:
     """Words of a text column, a bounded number of bytes at a time."""
     data, offsets = utf8(column)
     for low, high in runs(offsets, most):

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Elements whose content is no text, and elements by their role in HTML.
 RAW = "script|style|textarea|title|xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -246,4 +248,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 ], names=["page_id", "url", "text", "n_chars"])
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(source, run, "page_id long, url string, text string, n_chars long")

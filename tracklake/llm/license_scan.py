@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hash, word_runs
+from .common import map_batches, word_hash, word_runs
 
 #: Phrases and the labels that they give.
 PHRASES = {
@@ -121,7 +121,7 @@ def _counter(words: np.ndarray):
 
 def frequencies(docs: DataFrame, words: np.ndarray) -> dict[int, int]:
     """How often the template words stand in the corpus; a few hundred rows."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counter(words), "word long, n long")
+    counted = map_batches(docs.select(F.col("text").cast("string").alias("text")), _counter(words), "word long, n long")
     rows = counted.groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r["word"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
 
@@ -199,4 +199,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                 ], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, _OUT)
+    return map_batches(source, run, _OUT)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, utf8
+from .common import map_batches, mix64, utf8
 
 PAD = 64
 WINDOW = 16
@@ -129,8 +129,8 @@ def cut(docs: DataFrame, least: int = 2048, bits: int = 12, most: int = 65536) -
     for each distinct digest; map tasks drop repeats before the shuffle.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    recipes = source.mapInArrow(_cutter(least, bits, most, False), "doc_id long, n_bytes long, recipe_id binary, recipe binary")
-    chunks = source.select("doc_id", "text").mapInArrow(_cutter(least, bits, most, True), "digest binary, stored binary")
+    recipes = map_batches(source, _cutter(least, bits, most, False), "doc_id long, n_bytes long, recipe_id binary, recipe binary")
+    chunks = map_batches(source.select("doc_id", "text"), _cutter(least, bits, most, True), "digest binary, stored binary")
     return recipes, chunks.groupBy("digest").agg(F.first("stored").alias("stored"))
 
 
@@ -257,8 +257,8 @@ def read_back(recipes: DataFrame, store: DataFrame) -> DataFrame:
         F.expr("if(seq = 0, recipe, null)").alias("recipe"),
     )
     joined = steps.join(store, "digest", "left").select("recipe_id", "seq", "digest", "recipe", "stored")
-    placed = joined.mapInArrow(_where_they_lie, _STEP).repartition("recipe_id").sortWithinPartitions("recipe_id", "seq")
-    return placed.mapInArrow(_assemble, _FEATURES)
+    placed = map_batches(joined, _where_they_lie, _STEP).repartition("recipe_id").sortWithinPartitions("recipe_id", "seq")
+    return map_batches(placed, _assemble, _FEATURES)
 
 
 def media_features(docs: DataFrame, **cuts: int) -> DataFrame:

@@ -13,11 +13,16 @@ probability of the weighted Jaccard similarity), banded into buckets; nodes of
 one bucket are verified by their exact weighted Jaccard similarity, and classes
 are the components of verified links.
 
-Results for odd input: a text without words (null, empty) shares nothing and
-is its own class; a shorter text than five words is one shingle; a null
-``doc_id`` gets a null class and is kept; repeated rows and ties fall in one
-class with the smallest id as its representative, and all rows of that id are
-kept; an empty table gives an empty result; other columns are ignored.
+Every row counts by itself, whatever its id.  Nodes are numbered rows, and ids
+come in last: a class is named by the smallest id in it.  If several classes
+have that one, as an id stands beside different texts, or none has an id, a
+negative number from the text of its first row names it.
+
+Results for odd input: a text without words (null, empty) is alike only to
+equal rows of its id; a shorter text than five words is one shingle; rows
+with a null ``doc_id`` are compared as all others; repeated rows and ties fall
+in one class, of which one row is kept, that with the smallest id (null ids
+last); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import verified_components
-from .common import materialise, mix64
+from .common import discard, keyed, map_batches, materialise, mix64, row_key
 from .shared_shingles import Shared, with_frequencies
 
 _U = 2.0**-32
@@ -83,7 +88,7 @@ def weighted_jaccard(a: bytes, b: bytes, weight_a: float, weight_b: float) -> fl
 
 
 _ITEM = np.dtype([("hash", "<u8"), ("weight", "<f4")])
-_FOUND = "doc_id long, low long, high long, total double, shared double, items binary, bands array<long>"
+_FOUND = "doc_id long, text_low long, text_high long, low long, high long, total double, shared double, items binary, bands array<long>"
 
 
 def _signatures(n_docs: int, similarity: float, bands: int, rows: int):
@@ -91,39 +96,47 @@ def _signatures(n_docs: int, similarity: float, bands: int, rows: int):
 
     def run(texts: Shared) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(texts.counts)
+        begins = ends - texts.counts
         idf = 1 + np.log((1 + n_docs) / (1 + np.minimum(texts.frequency, n_docs))) / scale if scale else np.ones(len(texts.hashes))
         idf = idf.astype(np.float32).astype(np.float64)
         shared = texts.frequency > 1
         sums = np.concatenate([[0], np.cumsum(idf)])
         part = np.concatenate([[0], np.cumsum(np.where(shared, idf, 0))])
-        total = sums[ends] - sums[ends - texts.counts]
-        common = part[ends] - part[ends - texts.counts]
+        total, common = sums[ends] - sums[begins], part[ends] - part[begins]
         able = (texts.counts > 0) & (common >= (similarity - 1e-6) * total)
-        rows_ = []
+        # a text's name: two sums of hashes of its shingles; without any, its own digest and id
+        key = []
+        for seed in (0, 0x5851F42D4C957F2D):
+            running = np.concatenate([[np.uint64(0)], np.cumsum(mix64(texts.hashes ^ np.uint64(seed)), dtype=np.uint64)])
+            key.append(running[ends] - running[begins])
+        bare = texts.counts == 0
+        if bare.any():
+            ids, low, high = (texts.rows.column(c).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("doc_id", "text_low", "text_high"))
+            nameless = texts.rows.column("doc_id").combine_chunks().is_null().to_numpy(zero_copy_only=False).astype(np.uint64)
+            key[0][bare] = mix64(mix64(ids + nameless) ^ low)[bare]
+            key[1][bare] = mix64(mix64(ids ^ (nameless << np.uint64(17))) + high)[bare]
+        names = [k.view(np.int64) for k in key]
+        described: list[tuple] = []
         seen: set[tuple[int, int]] = set()
         for i, ok in enumerate(able.tolist()):
-            if not ok:
-                rows_.append((None,) * 6)
+            if not ok or (name := (int(names[0][i]), int(names[1][i]))) in seen:  # the set stands with its first text of the run
+                described.append((None,) * 4)
                 continue
-            at = slice(int(ends[i] - texts.counts[i]), int(ends[i]))
-            h = texts.hashes[at]
-            key = int(mix64(h).sum(dtype=np.uint64).astype(np.int64)), int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-            if key in seen:  # the set stands with its first text of the run
-                rows_.append((*key, None, None, None, None))
-                continue
-            seen.add(key)
-            element, where, times = np.unique(h, return_index=True, return_counts=True)
+            seen.add(name)
+            at = slice(int(begins[i]), int(ends[i]))
+            element, where, times = np.unique(texts.hashes[at], return_index=True, return_counts=True)
             weight = (times * idf[at][where]).astype(np.float32)
             items = np.empty(len(element), _ITEM)
             items["hash"], items["weight"] = element, weight
             items = items[shared[at][where]]
             buckets = band_keys(consistent_samples(element, weight.astype(np.float64), bands * rows), bands)
-            rows_.append((*key, float(weight.sum(dtype=np.float64)), float(items["weight"].sum(dtype=np.float64)), items.tobytes(), buckets.view(np.int64).tolist()))
-        columns = list(zip(*rows_, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+            described.append((float(weight.sum(dtype=np.float64)), float(items["weight"].sum(dtype=np.float64)), items.tobytes(), buckets.view(np.int64).tolist()))
+        columns = list(zip(*described, strict=True)) or [()] * 4
+        kinds = [pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+        own = [texts.rows.column(c).combine_chunks().cast(pa.int64()) for c in ("doc_id", "text_low", "text_high")]
         yield pa.record_batch(
-            [texts.rows.column("doc_id").combine_chunks().cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-            names=["doc_id", "low", "high", "total", "shared", "items", "bands"],
+            [*own, *map(pa.array, names), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+            names=["doc_id", "text_low", "text_high", "low", "high", "total", "shared", "items", "bands"],
         )
 
     return run
@@ -140,37 +153,64 @@ def _verifier(similarity: float):
             yield pa.record_batch([pa.array([a[i] for i in holds], pa.int64()), pa.array([b[i] for i in holds], pa.int64())], names=["a", "b"])
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sets = sets.dropDuplicates(["node"])
         first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"), F.col("total").alias("total_a"))
         second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("total").alias("total_b"))
-        return pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b", "total_a", "total_b").mapInArrow(run, "a long, b long")
+        return map_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b", "total_a", "total_b"), run, "a long, b long")
 
     return verify
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
-    """doc_id, class_id, class_size (rows), kept (its id is the class's smallest).
+def classified(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
+    """doc_id, text_low, text_high (the text's digest), class_id, class_size and kept of every row.
 
     A pair at the similarity shares a bucket with 1 - (1 - 0.8**5)**20, that
     is 99.97 %, and classes are found along any chain of links.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = keyed(docs)
     n_docs = source.count()
-    found = materialise(with_frequencies(source, _signatures(n_docs, similarity, bands, rows), _FOUND, width), "signatures")
-    able = found.where("low is not null and doc_id is not null")
-    classes = materialise(able.groupBy("low", "high").agg(F.min("doc_id").alias("node")), "classes")
-    # equal texts may be described in several runs; one description is enough
-    described = found.where("bands is not null").join(classes, ["low", "high"])
-    chosen = materialise(described.select("node", "total", "shared", "bands").dropDuplicates(["node"]), "nodes")
-    members = chosen.select("node", F.explode("bands").alias("bucket"))
-    sets = described.select("node", "items", "total")
-    linked = verified_components(members, chosen.select("node", "total", "shared"), sets, similarity, _verifier(similarity))
-    classes = classes.join(linked, "node", "left").select("low", "high", F.coalesce("component", "node").alias("class_id"))
-    joined = found.select("doc_id", "low", "high").join(classes, ["low", "high"], "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
-    )
-    sizes = joined.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return joined.join(sizes, "class_id", "left").select(
-        "doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"),
+    found = with_frequencies(source, _signatures(n_docs, similarity, bands, rows), _FOUND, width)
+    # numbers of rows, fixed as they are written
+    found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "text_low")).alias("first")
+    describing = F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("describing")
+    sets = materialise(found.groupBy("low", "high").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), first, describing), "sets")
+    chosen = sets.where("describing is not null").select(F.col("describing").alias("row"), "node")
+    nodes = materialise(found.where("bands is not null").join(chosen, "row").select("node", "total", "shared", "items", "bands"), "nodes")
+    placed = materialise(found.select("row", "doc_id", "text_low", "text_high", "low", "high"), "rows")
+    discard(found, collect=True)
+    members = nodes.select("node", "total", "shared", F.explode("bands").alias("bucket"))
+    linked = verified_components(members, nodes.select("node", "items", "total"), similarity, _verifier(similarity))
+    discard(nodes, collect=True)
+    sets = sets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = sets.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
+    # of the classes with one smallest id, one is named by it
+    named = classes.where("not first.nameless").groupBy(F.col("first.doc_id").alias("id")).agg(F.min(F.struct("first.text_low", "component")).alias("by"))
+    named = named.select(F.col("by.component").alias("component"), F.col("id").alias("class_id"))
+    other = -1 - F.shiftrightunsigned(F.col("first.text_low"), 1)
+    classes = classes.join(named, "component", "left").select("component", "class_size", F.col("first.row").alias("keep"), F.coalesce("class_id", other).alias("class_id"))
+    by_set = sets.select("low", "high", "component").join(classes, "component").drop("component")
+    return placed.join(by_set, ["low", "high"]).select(
+        "doc_id", "text_low", "text_high", "class_id", "class_size", (F.col("row") == F.col("keep")).alias("kept")
     )
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, class_size (rows) and kept of every row; one row of a class is kept."""
+    return classified(docs, **options).select("doc_id", "class_id", "class_size", "kept")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns.
+
+    Rows are told by id and text together, so that neither a null id nor one
+    that stands beside different texts loses a row.  Of rows equal in both,
+    any one stays if one is kept.
+    """
+    found = classified(docs, **options).groupBy("doc_id", "text_low", "text_high").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("keep"))
+    changed = found.where("keep < n").select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "text_low", "text_high", "keep")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(docs))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "text_low", "text_high")]
+    marked = rows.join(changed, same[0] & same[1] & same[2], "left")
+    place = F.row_number().over(Window.partitionBy("doc_id", "text_low", "text_high").orderBy(F.lit(0)))
+    one = marked.where("_keep > 0").withColumn("_place", place).where("_place <= _keep")
+    return marked.where("_keep is null").select("_row").union(one.select("_row")).select("_row.*")

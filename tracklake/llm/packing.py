@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 #: A text of these characters only is split into words here, and each word is
 #: encoded by the library once; any other text is encoded by the library whole.
@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return map_batches(source, run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
@@ -213,4 +213,4 @@ def pack(pieces: DataFrame, size: int = 4096, order: tuple[str, ...] = ("doc_id"
 
     if not len(where):
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    return ranked(pieces, list(order)).select(*columns, "_rank").mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return map_batches(ranked(pieces, list(order)).select(*columns, "_rank"), run, f"{fields}, sequence_id long, offset long")

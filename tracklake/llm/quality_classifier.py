@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, materialise, mix64, word_runs
+from .common import Words, discard, map_batches, materialise, mix64, word_runs
 
 BITS = 18
 #: Sizes in bytes of the word beginnings that are features too.
@@ -190,7 +190,7 @@ def feature_sets(docs: DataFrame) -> DataFrame:
                 ids = (keys & ((1 << BITS) - 1)).astype(np.int32)
                 yield pa.record_batch([batch.column("grade").slice(low, n).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))], names=["grade", "features"])
 
-    return docs.mapInArrow(run, "grade int, features array<int>")
+    return map_batches(docs, run, "grade int, features array<int>")
 
 
 def telling(sets: DataFrame, least_z: float, least_n: int, most: int) -> np.ndarray:
@@ -227,7 +227,7 @@ def design(sets: DataFrame, used: np.ndarray) -> tuple[list[np.ndarray], np.ndar
             yield pa.record_batch([batch.column("grade"), pa.array([raw[2 * a: 2 * b] for a, b in zip(held[:-1], held[1:], strict=True)], pa.binary())], names=["grade", "columns"])
 
     # in a fixed order, so that sums of floats come out alike
-    rows = sets.mapInArrow(run, "grade int, columns binary").orderBy("grade", "columns").toArrow()
+    rows = map_batches(sets, run, "grade int, columns binary").orderBy("grade", "columns").toArrow()
     columns = [np.frombuffer(raw.as_buffer(), "<u2") if raw.as_buffer().size else np.zeros(0, "<u2") for raw in rows.column("columns")]
     return columns, rows.column("grade").to_numpy().astype(np.int64)
 
@@ -289,7 +289,7 @@ def classify(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> D
                 ], names=["doc_id", "expected_grade", "p_top", "kept"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, expected_grade double, p_top double, kept boolean")
+    return map_batches(source, run, "doc_id long, expected_grade double, p_top double, kept boolean")
 
 
 def accepted(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> DataFrame:
@@ -301,4 +301,4 @@ def accepted(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> D
             for low, tails in scores(batch.column("text")):
                 yield batch.slice(low, len(tails)).filter(pa.array(tails[:, -1] >= least_tail))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, license_scan, media_chunks, mixing, near_dup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
-try:  # vocabulary files are found by a parameter; this is its default
-    import public_tokenizers
-
-    WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-except ModuleNotFoundError:
-    WORD_BPE, BYTE_BPE = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
+#: The operators take these paths as a parameter.
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +45,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")))
+    mixed = mixing.mix(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")))
+    return mixed.rows.drop("text_low", "text_high")
 
 
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +60,7 @@ def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("text_low", "text_high")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shingles, shuffle_partitions, word_runs
+from .common import Words, bound_batches, give_back, shingles, shuffle_partitions, word_runs
 
 LOW = 48
 
@@ -59,9 +59,12 @@ def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordB
     ``spread`` times as many buckets and parts are used as shuffle partitions.
     """
     n = spread * shuffle_partitions(docs.sparkSession)
-    bits = min(16, max(1, (n - 1).bit_length()))
-    shift = np.uint64(64 - LOW - bits)
+    bits = max(1, (n - 1).bit_length())
+    # beyond 2**16 parts, all 64 bits of hash are used
+    kept = min(LOW, 64 - bits)
+    shift = np.uint64(64 - kept - bits)
 
+    bound_batches(docs.sparkSession)
     dealt = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def count(bucket: pa.Table) -> pa.Table:
@@ -87,7 +90,7 @@ def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordB
             if len(found) > 1:
                 value, back = np.unique(value, return_inverse=True)
                 total = np.bincount(back, weights=total).astype(np.int64)
-            part = (value >> np.uint64(LOW)).astype(np.int64)
+            part = (value >> np.uint64(kept)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[p], cuts[p + 1]
@@ -95,6 +98,7 @@ def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordB
                 packs.append(_packed(value[a:b]))
                 totals.append(total[a:b].astype("<u4").tobytes())
         b = bucket.column("_bucket")[0].as_py()
+        give_back()
         return pa.table({"part": pa.array(parts, pa.int32()), "bucket": pa.array([b] * len(parts), pa.int32()), "packed": pa.array(packs, pa.binary()), "texts": pa.array(totals, pa.binary())})
 
     def add(part: pa.Table) -> pa.Table:
@@ -118,22 +122,25 @@ def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordB
                 packs.append(np.packbits(shared).tobytes())
                 totals.append(np.minimum(total[low:high][shared], 0xFFFFFFFF).astype("<u4").tobytes())
         p = part.column("part")[0].as_py()
+        give_back()
         return pa.table({"_bucket": pa.array(buckets, pa.int32()), "part": pa.array([p] * len(buckets), pa.int32()), "packed": pa.array(packs, pa.binary()), "texts": pa.array(totals, pa.binary())})
 
     def give(texts: pa.Table, sums: pa.Table) -> pa.Table:
         # the bucket's distinct hashes in the order in which count() sent them
         read = [(low, words, *shingles(words, width)) for low, words in word_runs(texts.column("text"))]
         known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(hashed >> shift for _, _, hashed, _ in read)]))
-        frequency = np.ones(len(known), np.int64)
-        cuts = np.searchsorted(known >> np.uint64(LOW), np.arange((1 << bits) + 1, dtype=np.uint64))
+        frequency = np.ones(len(known), np.uint32)
+        cuts = np.searchsorted(known >> np.uint64(kept), np.arange((1 << bits) + 1, dtype=np.uint64))
         for p, marks, totals in zip(sums.column("part").to_pylist(), _binary(sums, "packed"), _binary(sums, "texts"), strict=True):
             size = int(cuts[p + 1] - cuts[p])
             shared = np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8), count=size))
             frequency[cuts[p] + shared] = np.frombuffer(totals, "<u4")
         done = []
         for low, words, hashed, counts in read:
-            number = frequency[np.searchsorted(known, hashed >> shift)]
+            number = frequency[np.searchsorted(known, hashed >> shift)].astype(np.int64)
             done += fn(Shared(texts.slice(low, len(counts)), words, hashed, counts, number))
+        del read, known, frequency
+        give_back()
         return pa.Table.from_batches(done)
 
     columns = "part int, bucket int, packed binary, texts binary"

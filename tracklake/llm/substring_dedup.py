@@ -1,42 +1,47 @@
 """Removal of passages that repeat across texts, by paragraph MinHash banding.
 
-Exact document frequencies of five-word shingles show which stretches of a
-text stand in other texts too.  A stretch counts from ``least_words`` words
-on, if gaps between shared shingles stay small and most shingles are shared.
-It is cut where the frequencies show that a passage of more texts begins or
-ends, then into paragraphs at line ends and at words whose hash is the least
-of 17 around, so that equal passages are cut alike wherever they stand, even
-inside a longer line or a wider stretch.  Equal paragraphs are one node; nodes are banded by
-MinHash, with bands tuned for recall, those that collide are joined, verified
-by exact Jaccard similarity, and clustered by components.  Of each cluster in
-two texts or more, the first occurrence stays.
-
-Results for odd input: a null, empty or short text has no passages; rows with
-a null ``doc_id`` count in the frequencies, but get no result; repeated rows
-of one id count as one text; ties go to the smallest id and place; an empty
-table gives an empty result; other columns are ignored.
+Every text is cut into paragraphs from its first word to its last: at line
+ends, at words whose hash is the least of 17 around, and where exact document
+frequencies of five-word shingles show that a passage of more texts begins or
+ends.  Equal passages are so cut alike wherever they stand, even inside a
+longer line.  Equal paragraphs are one node; nodes are banded by MinHash, with
+bands tuned for recall, those that collide are joined, verified by exact
+Jaccard similarity, and clustered by components.  A paragraph with a partner
+at the similarity t has t of its shingles in another text at least; those that
+haven't need no bands, which is exact.
+
+Of a cluster in two texts or more, the first occurrence stays, and the others
+can go.  They do where such paragraphs, one after another, make a passage of
+``least_words`` words or more: shorter lines that many texts share stay.
+
+Results for odd input: a null or empty text has no paragraphs; a paragraph of
+fewer words than a shingle is never removed; rows are told by id and text
+together (null ids last), so that rows equal in both count as one text, and
+texts that share an id or have none are apart; ties go to the smallest id,
+text digest and place; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import bisect
-import hashlib
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import verified_components
-from .common import Words, materialise, mix64
+from .common import Words, bound_batches, discard, keyed, map_batches, materialise, mix64, row_key, sequence_hashes, spans
 from .near_dup import band_keys
 from .shared_shingles import Shared, with_frequencies
 
+#: A word begins a paragraph if its hash is the least among so many words on either side.
 AROUND = 8
-LEAST_PARAGRAPH = 8
-MOST_GAP = 8
+#: So many shingles on a passage's side are in more texts than those that straddle its edge.
+INSIDE = 8
+KEY = ["doc_id", "text_low", "text_high"]
 
 
 def tune_bands(similarity: float, recall: float = 0.999, hashes: int = 64) -> tuple[int, int]:
@@ -51,132 +56,133 @@ def tune_bands(similarity: float, recall: float = 0.999, hashes: int = 64) -> tu
     return best
 
 
-def starts_of_paragraphs(words: Words, hashed: np.ndarray) -> np.ndarray:
-    """For each word, whether a paragraph begins there."""
+def edges_of_passages(frequency: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (of all texts in order) with which a passage begins, and those with which what follows one begins.
+
+    All INSIDE shingles on the passage's side are in more texts than any of
+    the ``width`` - 1 on the other side, which straddle the edge.  Within a
+    passage, all its holders see the same frequencies.
+    """
+    few, n = width - 1, len(frequency)
+    _, index = spans(counts)
+    left = np.repeat(counts, counts) - index
+
+    def over(function, offsets: range) -> np.ndarray:
+        found = None
+        for k in offsets:
+            moved = np.roll(frequency, -k)
+            found = moved if found is None else function(found, moved)
+        return found
+
+    if few < 1 or not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = (index >= few) & (left >= INSIDE) & (over(np.maximum, range(-few, 0)) < over(np.minimum, range(INSIDE)))
+    ends = (index >= INSIDE) & (left >= few) & (over(np.minimum, range(-INSIDE, 0)) > over(np.maximum, range(few)))
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def paragraphs(words: Words, hashed: np.ndarray, frequency: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """The words with which paragraphs begin, the first of each text among them.
+
+    A word that is the least among those around cuts only if all of these are
+    on its side of the fixed edges: line ends and edges of passages.
+    """
+    n = len(hashed)
+    if not n:
+        return np.zeros(0, np.int64)
     n_words = np.diff(words.first)
-    index = np.arange(len(hashed)) - np.repeat(words.first[:-1], n_words)
+    index = np.arange(n) - np.repeat(words.first[:-1], n_words)
     left = np.repeat(n_words, n_words) - index
-    least = np.ones(len(hashed), bool)
+    lines = np.concatenate([[0], np.cumsum(words.data == 10)])[words.start]
+    fixed = index == 0
+    fixed[1:] |= lines[1:] != lines[:-1]
+    # shingle i of a text begins with its word i
+    word = np.arange(len(frequency)) + np.repeat(words.first[:-1] - (np.cumsum(counts) - counts), counts)
+    begins, ends = edges_of_passages(frequency, counts, width)
+    fixed[word[begins]] = True
+    fixed[word[ends] - 1 + width] = True
+    least = np.ones(n, bool)
     for k in range(1, AROUND + 1):
         least[k:] &= (hashed[k:] < hashed[:-k]) | (index[k:] < k)
         least[:-k] &= (hashed[:-k] < hashed[k:]) | (left[:-k] <= k)
-    lines = np.concatenate([[0], np.cumsum(words.data == 10)])[words.start]
-    least[1:] |= lines[1:] != lines[:-1]
-    return least
-
-
-def stretches(shared: np.ndarray, least_words: int, width: int) -> list[tuple[int, int]]:
-    """Word ranges of one text that are shared throughout, small gaps apart."""
-    at = np.flatnonzero(shared)
-    if not len(at):
-        return []
-    cuts = np.flatnonzero(np.diff(at) > MOST_GAP)
-    firsts, lasts = np.append(0, cuts + 1), np.append(cuts, len(at) - 1)
-    found = []
-    for i, j in zip(firsts.tolist(), lasts.tolist(), strict=True):
-        low, high = int(at[i]), int(at[j]) + width
-        if high - low >= least_words and 2 * (j - i + 1) >= high - low - width + 1:
-            found.append((low, high))
-    return found
-
-
-def turns(frequency: np.ndarray, width: int) -> list[int]:
-    """Words of one text where a passage that more texts have begins or ends.
-
-    All LEAST_PARAGRAPH shingles on the passage's side are in more texts than
-    any of the ``width`` - 1 on the other side, which straddle the edge.
-    Within a passage, all its holders see the same frequencies.
-    """
-    few, many = width - 1, LEAST_PARAGRAPH
-    n = len(frequency)
-    if few < 1 or n < few + many:
-        return []
-    view = np.lib.stride_tricks.sliding_window_view
-    most, least = view(frequency, few).max(axis=1), view(frequency, many).min(axis=1)
-    begins = np.flatnonzero(most[: n - few - many + 1] < least[few:]) + few
-    ends = np.flatnonzero(least[: n - few - many + 1] > most[many:]) + many - 1 + width
-    return np.union1d(begins, ends).tolist()
-
-
-def _paragraphs(begin: np.ndarray, low: int, high: int, edges_of_passages: Iterable[int] = ()) -> list[tuple[int, int]]:
-    """Cut [low, high) at edges of passages, then at the marked words; none gets under LEAST_PARAGRAPH words."""
-    fixed = [low]
-    for i in edges_of_passages:
-        if i - fixed[-1] >= LEAST_PARAGRAPH and high - i >= LEAST_PARAGRAPH:
-            fixed.append(i)
-    fixed.append(high)
-    edges = []
-    for first, last in zip(fixed[:-1], fixed[1:], strict=True):
-        edges.append(first)
-        for i in (np.flatnonzero(begin[first:last]) + first).tolist():
-            # a word that decides about this cut may not lie behind the edge
-            if i - edges[-1] >= LEAST_PARAGRAPH and last - i > AROUND:
-                edges.append(i)
-    return list(zip(edges, [*edges[1:], high], strict=True))
-
-
-_FOUND = "doc_id long, start long, end long, n_words int, node long, shared int, items binary"
-
-
-def _finder(least_words: int, width: int):
+    edge = np.append(np.flatnonzero(fixed), n)
+    soft = np.flatnonzero(least & ~fixed)
+    after = np.searchsorted(edge, soft)
+    soft = soft[(soft - edge[after - 1] >= AROUND) & (edge[after] - soft > AROUND)]
+    return np.union1d(edge[:-1], soft)
+
+
+_FOUND = "doc_id long, text_low long, text_high long, first long, start long, end long, n_words int, node long, shared int, items binary"
+
+
+def _finder(similarity: float, width: int):
+    """Paragraphs whose shared shingles can reach the similarity."""
+
     def run(texts: Shared) -> Iterator[pa.RecordBatch]:
-        words, ids = texts.words, texts.rows.column("doc_id").to_pylist()
-        shared = texts.frequency > 1
-        ends = np.cumsum(texts.counts)
+        words = texts.words
+        hashed = words.hashes()
+        begin = paragraphs(words, hashed, texts.frequency, texts.counts, width)
+        owner = np.searchsorted(words.first[:-1], begin, side="right") - 1
+        last_of_text = np.append(owner[1:] != owner[:-1], True) if len(begin) else np.zeros(0, bool)
+        end = np.append(begin[1:], len(hashed))[: len(begin)]
+        within = end - begin - width + 1
+        shared = (texts.frequency > 1).astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(shared)])
-        able = 2 * (sums[ends] - sums[ends - texts.counts]) >= least_words - width + 1
-        able &= np.diff(words.first) >= least_words
-        rows = []
-        hashed = begin = None
-        for i in np.flatnonzero(able).tolist():
-            if ids[i] is None:
-                continue
-            first_shingle, first_word = int(ends[i] - texts.counts[i]), int(words.first[i])
-            spots = stretches(shared[first_shingle: int(ends[i])], least_words, width)
-            if not spots:
-                continue
-            if hashed is None:
-                hashed = words.hashes()
-                begin = starts_of_paragraphs(words, hashed)
-            text_begin, text_end = int(words.offsets[i]), int(words.offsets[i + 1])
-            data = words.data[text_begin:text_end]
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            turned = [first_word + t for t in turns(texts.frequency[first_shingle: int(ends[i])], width)]
-            for low, high in spots:
-                within = turned[bisect.bisect_right(turned, first_word + low): bisect.bisect_left(turned, first_word + high)]
-                for a, b in _paragraphs(begin, first_word + low, first_word + high, within):
-                    start = int(words.start[a]) - text_begin
-                    if b < first_word + high:
-                        end = int(words.start[b]) - text_begin
-                    else:  # with the marks that follow the last word
-                        end = int(words.end[b - 1]) - text_begin
-                        while end < len(data) and data[end] > 32:
-                            end += 1
-                    node = int.from_bytes(hashlib.blake2b(hashed[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
-                    at = first_shingle + a - first_word
-                    items, where = np.unique(texts.hashes[at: at + b - a - width + 1], return_index=True)
-                    rows.append((ids[i], int(chars[start]), int(chars[end]), b - a, node, int(shared[at + where].sum()), items.astype("<u8").tobytes()))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "n_words", "node", "shared", "items"])
+        at = (np.cumsum(texts.counts) - texts.counts)[owner] + begin - words.first[owner]
+        some = np.flatnonzero(within > 0)
+        some = some[sums[at[some] + within[some]] > sums[at[some]]]
+        # the set of each paragraph's shingles
+        group, place = spans(within[some])
+        spot = at[some][group] + place
+        order = np.lexsort((texts.hashes[spot], group))
+        group, hashes, known = group[order], texts.hashes[spot][order], shared[spot][order]
+        new = np.ones(len(group), bool)
+        new[1:] = (group[1:] != group[:-1]) | (hashes[1:] != hashes[:-1])
+        group, hashes, known = group[new], hashes[new], known[new]
+        total = np.bincount(group, minlength=len(some))
+        common = np.bincount(group, weights=known, minlength=len(some)).astype(np.int64)
+        able = common >= similarity * total * (1 - 1e-12)
+        chosen = some[able]
+        a, b, text = begin[chosen], end[chosen], owner[chosen]
+        letters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+        # up to the next paragraph, or the text's last word with the marks that follow it
+        stop = np.where(last_of_text[chosen], words.end[b - 1], words.start[np.minimum(b, len(hashed) - 1)])
+        blanks = np.append(np.flatnonzero(words.data <= 32), len(words.data))
+        marks = np.minimum(blanks[np.searchsorted(blanks, stop)], words.offsets[text + 1])
+        stop = np.where(last_of_text[chosen], marks, stop)
+        zero = letters[words.offsets[text]]
+        ends = np.concatenate([[0], np.cumsum(8 * total[able])]).astype(np.int32)
+        raw = hashes[able[group]].astype("<u8").tobytes()
+        key = [texts.rows.column(c).combine_chunks().cast(pa.int64()).take(pa.array(text)) for c in KEY]
+        yield pa.record_batch([
+            *key, pa.array(a - words.first[text]), pa.array(letters[words.start[a]] - zero), pa.array(letters[stop] - zero), pa.array((b - a).astype(np.int32)),
+            pa.array(sequence_hashes(hashed, a, b).view(np.int64)), pa.array(common[able].astype(np.int32)),
+            pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(ends), pa.py_buffer(raw)]),
+        ], names=[*KEY, "first", "start", "end", "n_words", "node", "shared", "items"])
 
     return run
 
 
 def _bander(bands: int, rows: int):
+    """Adds the buckets of each node, by the least hashes of its items."""
     seeds = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
-                buckets = [np.zeros(0, np.int64)]
-                for items in batch.column("items").to_pylist():
-                    hashed = np.frombuffer(items, "<u8")
-                    least = mix64(hashed[:, None] ^ seeds[None, :]).min(axis=0)
-                    buckets.append(band_keys(least, bands).view(np.int64))
-                again = np.repeat(np.arange(batch.num_rows), bands)
-                yield pa.record_batch([batch.column("node").take(pa.array(again)), pa.array(np.concatenate(buckets))], names=["node", "bucket"])
+                listed = batch.column("items").to_pylist()
+                begin = np.cumsum([0, *(len(x) // 8 for x in listed[:-1])])
+                hashed = np.frombuffer(b"".join(listed), "<u8")
+                least = np.stack([np.minimum.reduceat(mix64(hashed ^ seed), begin) for seed in seeds], axis=1)
+                buckets = np.zeros((len(listed), bands), np.uint64)
+                for k in range(bands):
+                    key = np.full(len(listed), (k + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+                    for j in range(rows):
+                        key = mix64(key ^ least[:, k * rows + j])
+                    buckets[:, k] = key
+                ends = pa.array(np.arange(0, buckets.size + 1, bands, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(buckets.view(np.int64).ravel()))], names=[*batch.schema.names, "bands"])
 
     return run
 
@@ -196,52 +202,78 @@ def _verifier(similarity: float):
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-        return pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+        return map_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b"), run, "a long, b long")
 
     return verify
 
 
+def _repeating(placed: DataFrame) -> DataFrame:
+    """Paragraphs of clusters in two texts or more, once for equal rows; later: not the cluster's first."""
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), *KEY)
+    by = placed.groupBy("cluster_id").agg(F.min(F.struct(key.alias("key"), "first")).alias("earliest"), F.max(key).alias("last"))
+    joined = placed.join(by.where("earliest.key != last").select("cluster_id", "earliest"), "cluster_id")
+    return joined.withColumn("later", F.struct(key.alias("key"), "first") != F.col("earliest")).drop("earliest").dropDuplicates([*KEY, "first"])
+
+
 def repeated_passages(docs: DataFrame, least_words: int = 40, similarity: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
-    """doc_id, start, end (characters), n_words, cluster_id, removed.
+    """doc_id, start, end (characters), n_words, cluster_id, removed, text_low, text_high.
 
-    One row for each paragraph of a passage that stands in two texts or more;
-    texts without one have no row.
+    One row for each paragraph that is removed, and for the occurrence of its
+    cluster that stays, if that is in a passage too; other texts have no row.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(with_frequencies(source, _finder(least_words, width), _FOUND, width), "paragraphs")
-    sets = found.groupBy("node").agg(F.first(F.struct("shared", "items")).alias("first")).select("node", "first.*")
-    sets = materialise(sets.withColumns({"total": F.length("items") / 8, "shared": F.col("shared").cast("double")}), "nodes")
     bands, rows = tune_bands(similarity, recall)
-    # a node whose shared shingles can't reach the similarity needs no buckets
-    able = sets.where(F.col("shared") >= similarity * F.col("total"))
-    members = able.select("node", "items").mapInArrow(_bander(bands, rows), "node long, bucket long")
-    linked = verified_components(members, able.select("node", "total", "shared"), sets.select("node", "items"), similarity, _verifier(similarity))
-    placed = found.drop("items", "shared").join(linked, "node", "left").select("doc_id", "start", "end", "n_words", F.coalesce("component", "node").alias("cluster_id"))
-    placed = materialise(placed, "clusters")
-    firsts = placed.groupBy("cluster_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") != F.col("last"))
-    return placed.join(firsts, "cluster_id").select(
-        "doc_id", "start", "end", "n_words", "cluster_id",
-        (F.struct("doc_id", "start") != F.col("first")).alias("removed"),
-    )
+    found = materialise(with_frequencies(keyed(docs), _finder(similarity, width), _FOUND, width), "paragraphs")
+    sets = found.groupBy("node").agg(F.first(F.struct("shared", "items")).alias("one")).select("node", F.col("one.shared").cast("double").alias("shared"), (F.length("one.items") / 8).alias("total"), "one.items")
+    nodes = materialise(map_batches(sets, _bander(bands, rows), "node long, shared double, total double, items binary, bands array<long>"), "nodes")
+    slim = materialise(found.drop("items", "shared"), "places")
+    discard(found, collect=True)
+    members = nodes.select("node", "total", "shared", F.explode("bands").alias("bucket"))
+    linked = verified_components(members, nodes.select("node", "items"), similarity, _verifier(similarity))
+    discard(nodes, collect=True)
+    placed = slim.join(linked, "node", "left").withColumn("cluster_id", F.coalesce("component", "node")).drop("component", "node")
+    repeated = materialise(_repeating(placed), "repeated")
+    discard(slim, linked)
+    # runs of paragraphs one after another, and of later ones among them
+    order = Window.partitionBy(*KEY).orderBy("first")
+    apart = F.coalesce(F.col("first") != F.lag(F.col("first") + F.col("n_words")).over(order), F.lit(True))
+    turned = apart | (F.col("later") != F.lag("later").over(order))
+    runs = repeated.withColumns({"run": F.sum(apart.cast("int")).over(order), "part": F.sum(turned.cast("int")).over(order)})
+    words = lambda name: F.sum("n_words").over(Window.partitionBy(*KEY, name))
+    sized = runs.withColumns({"long": words("run") >= least_words, "removed": F.col("later") & (words("part") >= least_words)})
+    passages = materialise(sized.where("removed or (long and not later)").drop("run", "part", "long", "later"), "passages")
+    discard(repeated)
+    gone = passages.where("removed").select("cluster_id").distinct()
+    return passages.join(gone, "cluster_id", "left_semi").select("doc_id", "start", "end", "n_words", "cluster_id", "removed", "text_low", "text_high")
+
+
+def _without(text: pa.Array, cuts: pa.Array) -> pa.Array:
+    def cut(whole: str | None, spans_: list | None) -> str | None:
+        if spans_ is None or whole is None:
+            return whole
+        at, parts = 0, []
+        for x in sorted((s["start"], s["end"]) for s in spans_):
+            parts.append(whole[at: max(at, x[0])])
+            at = max(at, x[1])
+        return "".join([*parts, whole[at:]])
+
+    return pa.array([cut(t.as_py(), s.as_py()) for t, s in zip(text, cuts, strict=True)], pa.string())
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the removed passages cut out of ``text``; all rows stay.
 
-    If ``docs`` has ``n_chars``, it is counted anew.
+    Rows are told by id and text together.  If ``docs`` has ``n_chars``, it is
+    counted anew.  A null text stays null; other columns stay as they are,
+    whatever their names.
     """
-    spans = passages.where("removed").select(F.col("doc_id").alias("_id"), "start", "end").distinct()
     # a text's own spans: as many as it has paragraphs
-    cut = spans.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left").drop("_id")
-    kept = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")),
-        lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))).alias("text")),
-        lambda s: F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
-    )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)
-    changed = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*docs.columns)
+    cut = passages.where("removed").groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans")).select("spans", *(F.col(c).alias(f"_{c}") for c in KEY))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_key(docs))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    joined = rows.join(cut, same[0] & same[1] & same[2], "left").select("row", "spans")
+    bound_batches(docs.sparkSession)
+    shorten = F.arrow_udf(_without, "string")
+    left = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.col("cut"))
+    changed = joined.withColumn("cut", shorten(F.when(F.col("spans").isNotNull(), F.col("row.text").cast("string")), F.col("spans"))).withColumn("left", left)
+    made = {"text": F.col("left"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("left")) if "n_chars" in docs.columns else None}
+    return changed.select(*((made[c] if c in made else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

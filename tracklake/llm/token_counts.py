@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: A text of these characters only is split here; any other one is split by
 #: the tokenizer library's own pre-tokenizer.  Fixed value: ASCII without
 #: control characters other than white space, and Latin letters whose class
@@ -171,4 +173,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 ], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(source, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
