@@ -15,37 +15,52 @@ from tracklake.llm.queries import WORD_BPE, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts, as they are.
+
+    Null and empty texts are scored by their shape; repeated rows fare alike;
+    without labels of two grades, and on an empty table, nothing goes.
+    """
     model = quality_classifier.train(docs, quality_classifier.ratings(table(spark, sf_dir, "labels")))
     return quality_classifier.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class; repeated rows of it go too."""
-    found = near_dup.near_duplicates(docs)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    # ids alone tell whether rows repeat; if none do, there is nothing to drop
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not ids.isEmpty():
-        left = left.dropDuplicates(["doc_id", "text"])
-    return left
+    """One row of each class, as it is; that with the smallest id, null ids last.
+
+    Rows are told by id and text, so a row whose id stands beside another text
+    fares by its own text; texts without words go only if they repeat under
+    one id; an empty table stays empty.
+    """
+    return near_dup.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; emptied ones go."""
+    """Documents without the passages that an earlier one has; emptied ones go.
+
+    Null texts and those that were empty before stay; of rows equal in id and
+    text, all are cut alike.
+    """
     cut = substring_dedup.without_passages(docs, substring_dedup.repeated_passages(docs))
-    return cut.where(F.col("text").isNull() | F.col("text").rlike(r"\S"))
+    # what was empty before has no passage; only a cut can leave a text blank
+    return cut.where(F.col("text").isNull() | (F.length("text") == 0) | F.col("text").rlike(r"\S"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights ask; none is dropped."""
+    """Documents as often as the target weights ask; none is dropped.
+
+    Null and empty texts have no tokens and stay by their rate of 1 or more;
+    without labels all domains are equally likely for every text.
+    """
     mixed = mixing.mix(docs, mixing.labelled_domains(docs, table(spark, sf_dir, "labels")), least=1.0)
-    return mixing.apply_copies(docs, mixed)
+    return mixing.apply_copies(docs, mixed.rows)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in the packed sequences."""
+    """Pieces with their place in the packed sequences.
+
+    A null or empty text is one piece with the end id alone; repeated rows are
+    packed each; an empty table gives no piece.
+    """
     pieces = packing.token_pieces(docs, WORD_BPE)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
