@@ -2,9 +2,11 @@
 
 A payload is cut where a rolling gear hash of its last 16 bytes has its
 masked bits at zero.  Cuts move with the content, so equal stretches of
-different payloads make equal chunks.  Chunks are kept once per digest; a
-payload is an ordered list of digests (its recipe), and payloads are built
-again by joining recipes with the chunk store and checking every digest.
+different payloads make equal chunks.  Chunks are kept once per digest,
+deflated; a payload is an ordered list of digests (its recipe).  Recipes are
+written out; payloads are built again by joining them with the chunk store and
+checking every digest.  A payload's stored form is a head, its recipe, and the
+deflated chunks as they were read from the store, in order.
 
 Results for odd input: a null text counts as empty; an empty text is one
 chunk of 64 zero bytes; a null ``doc_id`` stays null; repeated rows give
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, utf8
+from .common import map_batches, materialise, mix64, utf8
 
 PAD = 64
 WINDOW = 16
@@ -131,7 +132,7 @@ def cut(docs: DataFrame, least: int = 2048, bits: int = 12, most: int = 65536) -
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     recipes = map_batches(source, _cutter(least, bits, most, False), "doc_id long, n_bytes long, recipe_id binary, recipe binary")
     chunks = map_batches(source.select("doc_id", "text"), _cutter(least, bits, most, True), "digest binary, stored binary")
-    return recipes, chunks.groupBy("digest").agg(F.first("stored").alias("stored"))
+    return materialise(recipes, "recipes"), chunks.groupBy("digest").agg(F.first("stored").alias("stored"))
 
 
 class _Reader:
@@ -139,21 +140,23 @@ class _Reader:
 
     def __init__(self) -> None:
         self.sha, self.media, self.tail = hashlib.sha256(), hashlib.sha256(), b""
-        self.n = self.chunks = self.head = 0
+        self.n = self.chunks = self.stored = 0
         self.histogram = np.zeros(256, np.int64)
         self.digests: set[bytes] = set()
 
     def header(self, recipe: bytes) -> None:
-        """The stored form is: magic, number of chunks, recipe, chunks."""
+        """The stored form is: magic, number of chunks, recipe, stored chunks."""
         head = MAGIC + struct.pack("<I", len(recipe) // 36) + recipe
-        self.expected, self.recipe, self.head = len(recipe) // 36, recipe, len(head)
+        self.expected, self.stored = len(recipe) // 36, len(head)
         self.media.update(head)
 
-    def add(self, seq: int, digest: bytes, chunk: bytes) -> None:
-        if not self.head or seq != self.chunks or hashlib.sha256(chunk).digest() != digest:
+    def add(self, seq: int, digest: bytes, stored: bytes) -> None:
+        chunk = zlib.decompress(stored)
+        if not self.stored or seq != self.chunks or hashlib.sha256(chunk).digest() != digest:
             raise ValueError("a chunk is missing, repeated or damaged")
         self.sha.update(chunk)
-        self.media.update(chunk)
+        self.media.update(stored)
+        self.stored += len(stored)
         self.tail = (self.tail + chunk)[-PAD:]
         self.n += len(chunk)
         self.chunks += 1
@@ -165,18 +168,20 @@ class _Reader:
             raise ValueError("a payload lacks chunks")
         p = self.histogram[self.histogram > 0] / self.n
         mean = float(self.histogram @ np.arange(256)) / self.n
-        entropy = float(-(p * np.log2(p)).sum())
+        entropy = abs(float((p * np.log2(p)).sum()))
         feature = f"chunks={self.chunks};distinct={len(self.digests)};mean={mean:.4f};entropy={entropy:.4f}"
-        return self.n, self.sha.hexdigest(), zlib.crc32(self.tail), self.head + self.n, self.media.hexdigest(), feature
+        return self.n, self.sha.hexdigest(), zlib.crc32(self.tail), self.stored, self.media.hexdigest(), feature
 
 
-_FEATURES = "recipe_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_FEATURES_ARROW = pa.schema([("recipe_id", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-_STEP = "recipe_id binary, seq int, digest binary, recipe binary, stored binary"
-_STEP_ARROW = pa.schema([("recipe_id", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary()), ("recipe", pa.binary()), ("stored", pa.binary())])
+_MEASURED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_MEASURED_ARROW = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+_STEP = f"recipe_id binary, seq int, digest binary, recipe binary, stored binary, {_MEASURED}"
+_STEP_ARROW = pa.schema([("recipe_id", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary()), ("recipe", pa.binary()), ("stored", pa.binary()), *_MEASURED_ARROW])
+_FEATURES = f"recipe_id binary, {_MEASURED}"
+_FEATURES_ARROW = pa.schema([("recipe_id", pa.binary()), *_MEASURED_ARROW])
 
 
-def _measured(recipe_id: bytes, chunks: Iterator[tuple[int, bytes, bytes | None, bytes | None]]) -> tuple:
+def _measured(chunks: Iterator[tuple[int, bytes, bytes | None, bytes | None]]) -> tuple:
     """Features of one payload from its (seq, digest, recipe, stored) in order."""
     reader = _Reader()
     for seq, digest, recipe, stored in chunks:
@@ -184,8 +189,8 @@ def _measured(recipe_id: bytes, chunks: Iterator[tuple[int, bytes, bytes | None,
             reader.header(recipe)
         if stored is None:
             raise ValueError("a recipe names a chunk that the store lacks")
-        reader.add(seq, digest, zlib.decompress(stored))
-    return recipe_id, *reader.row()
+        reader.add(seq, digest, stored)
+    return reader.row()
 
 
 def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -209,34 +214,26 @@ def _grouped(rows: Iterator[tuple], size: int, schema: pa.Schema) -> Iterator[pa
     yield _rows(found, schema)
 
 
-def _where_they_lie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads of one chunk are measured beside the store; others pass by.
-
-    A measured payload travels as a step without stored bytes, whose digest
-    column holds its features.
-    """
+def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Measures the payloads that are whole beside their first chunk, whose bytes need not move any more."""
 
     def rows() -> Iterator[tuple]:
-        for recipe_id, seq, digest, recipe, stored in _steps(batches, _STEP_ARROW.names):
+        for recipe_id, seq, digest, recipe, stored in _steps(batches, _STEP_ARROW.names[:5]):
             if seq == 0 and len(recipe) == 36:
-                measured = _measured(recipe_id, iter([(seq, digest, recipe, stored)]))
-                yield recipe_id, -1, json.dumps(measured[1:]).encode(), None, None
+                yield recipe_id, seq, None, None, None, *_measured(iter([(seq, digest, recipe, stored)]))
             else:
-                yield recipe_id, seq, digest, recipe, stored
+                yield recipe_id, seq, digest, recipe, stored, *[None] * len(_MEASURED_ARROW)
 
     return _grouped(rows(), 256, _STEP_ARROW)
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (recipe_id, seq); one payload's state is held."""
 
     def rows() -> Iterator[tuple]:
         for recipe_id, steps in itertools.groupby(_steps(batches, _STEP_ARROW.names), key=lambda r: r[0]):
             first = next(steps)
-            if first[1] < 0:
-                yield recipe_id, *json.loads(first[2])
-            else:
-                yield _measured(recipe_id, (r[1:] for r in itertools.chain([first], steps)))
+            yield recipe_id, *(first[5:] if first[5] is not None else _measured(r[1:5] for r in itertools.chain([first], steps)))
 
     return _grouped(rows(), 1024, _FEATURES_ARROW)
 
@@ -257,8 +254,8 @@ def read_back(recipes: DataFrame, store: DataFrame) -> DataFrame:
         F.expr("if(seq = 0, recipe, null)").alias("recipe"),
     )
     joined = steps.join(store, "digest", "left").select("recipe_id", "seq", "digest", "recipe", "stored")
-    placed = map_batches(joined, _where_they_lie, _STEP).repartition("recipe_id").sortWithinPartitions("recipe_id", "seq")
-    return map_batches(placed, _assemble, _FEATURES)
+    placed = map_batches(joined, _begin, _STEP).repartition("recipe_id").sortWithinPartitions("recipe_id", "seq")
+    return map_batches(placed, _finish, _FEATURES)
 
 
 def media_features(docs: DataFrame, **cuts: int) -> DataFrame:
