@@ -3,9 +3,12 @@
 Every text gets a few measures from built-in SQL functions.  Their values are
 counted in logarithmic buckets (a quantile sketch with a relative error of one
 part in a hundred) for each language and source; sketches merge by adding
-counts, so small groups take the sketch of their language, or of all texts.
-A text passes if each measure lies within the fences of its group: upper
-quartile plus three times the quartile distance, and a least tolerance.
+counts, to those of a language and of all texts.  A group's quartiles are drawn
+to those of its language, and these to those of all texts, as if SHRINK more
+rows stood there; so they move smoothly with the group's size.  A text passes
+if each measure lies within the fences of its group: upper quartile plus FENCE
+times the quartile distance, and a tolerance for measures that are zero in most
+texts and so have no distance of their own.
 
 Everything is DataFrame functions.  Only the measures, never texts, are
 shuffled, and only counts by group, measure and bucket meet in one task.
@@ -34,17 +37,19 @@ ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
 #: The bucket of the value 0.
 ZERO = -100_000
-#: Measures: numerator, denominator, least tolerance above the upper quartile.
+#: Measures: numerator, denominator, tolerance beyond the fence.
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", 0.1),
     "dup_lines": ("n_dup_lines", "n_lines", 0.3),
     "repeats": ("n_repeat_words", "n_words", 0.2),
-    "capitals": ("n_capitals", "word_chars", 0.2),
+    "capitals": ("n_capitals", "word_chars", 0.0),
     "marks": ("n_marks", "word_chars", 0.1),
-    "word_length": ("word_chars", "n_words", 4.0),
+    "word_length": ("word_chars", "n_words", 0.0),
 }
-#: Groups below this size take the sketch of the next larger group.
-LEAST_GROUP = 200
+#: Quartile distances from the quartile to the fence.
+FENCE = 12.0
+#: So many rows with the quartiles of the next larger group are added to each group.
+SHRINK = 50.0
 
 
 def _dropped(text: Column, characters: str) -> Column:
@@ -121,28 +126,30 @@ def quartiles(merged: DataFrame, group: list[str]) -> DataFrame:
     return ranked.groupBy(*group, "measure").agg(F.max("_all").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
-def limits(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def limits(sketch: DataFrame) -> DataFrame:
     """lang, source and the highest (and for word length lowest) value of each measure."""
     small = quartiles(sketch, ["lang", "source"])
     middle = quartiles(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("measure").alias("_m1"), F.col("n").alias("n1"), F.col("q1").alias("q11"), F.col("q3").alias("q31"))
     whole = quartiles(sketch, []).select(F.col("measure").alias("_m2"), F.col("q1").alias("q12"), F.col("q3").alias("q32"))
+    # one row for each measure
     joined = small.join(middle, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m1"))).join(F.broadcast(whole), F.col("measure") == F.col("_m2"))
-    pick = lambda a, b, c: F.when(F.col("n") >= least_group, F.col(a)).when(F.col("n1") >= least_group, F.col(b)).otherwise(F.col(c))
-    chosen = joined.select("lang", "source", "measure", pick("q1", "q11", "q12").alias("q1"), pick("q3", "q31", "q32").alias("q3"))
+    drawn = lambda n, q, to: (F.col(n) * F.col(q) + F.lit(SHRINK) * to) / (F.col(n) + F.lit(SHRINK))
+    chosen = joined.select("lang", "source", "measure", *(drawn("n", q, drawn("n1", f"{q}1", F.col(f"{q}2"))).alias(q) for q in ("q1", "q3")))
     slack = F.when(F.lit(False), 0.0)
     for name, (_, _, tolerance) in MEASURES.items():
         slack = slack.when(F.col("measure") == name, tolerance)
-    fenced = chosen.select("lang", "source", "measure", (F.col("q3") + 3 * (F.col("q3") - F.col("q1")) + slack).alias("high"), (F.col("q1") - 3 * (F.col("q3") - F.col("q1")) - slack).alias("low"))
+    away = F.lit(FENCE) * (F.col("q3") - F.col("q1")) + slack
+    fenced = chosen.select("lang", "source", "measure", (F.col("q3") + away).alias("high"), (F.col("q1") - away).alias("low"))
     return fenced.groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("measure") == name, F.col("high"))).alias(f"max_{name}") for name in MEASURES),
         F.max(F.when(F.col("measure") == "word_length", F.col("low"))).alias("min_word_length"),
     )
 
 
-def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """The counts of every text, base_failed, and kept by the group's limits."""
     measured = materialise(measures(docs), "measures")
-    bounds = limits(sketches(measured), least_group).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    bounds = limits(sketches(measured)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.lit(True)
@@ -157,13 +164,14 @@ def judge(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     )
 
 
-def sql(least_group: int = LEAST_GROUP) -> str:
+def sql() -> str:
     """The same in DuckDB's SQL, over ``documents``."""
     value = lambda a, b: f"{a}::DOUBLE / (CASE WHEN {b} > 0 THEN {b} ELSE 1 END)"
     index = lambda v: f"CASE WHEN {v} <= 0 THEN {ZERO} ELSE ceil(ln({v}) / {math.log(GAMMA)!r})::INT END"
     back = lambda i: f"(CASE WHEN {i} = {ZERO} THEN 0.0 ELSE {2 / (GAMMA + 1)!r} * pow({GAMMA!r}, {i}) END)"
     long = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS measure, {index(value(a, b))} AS bucket FROM counted" for name, (a, b, _) in MEASURES.items())
-    slack = " ".join(f"WHEN '{name}' THEN {t}" for name, (_, _, t) in MEASURES.items())
+    drawn = lambda q: f"(s.n * s.{q} + {SHRINK}::DOUBLE * ((m.n * m.{q} + {SHRINK}::DOUBLE * w.{q}) / (m.n + {SHRINK}::DOUBLE))) / (s.n + {SHRINK}::DOUBLE)"
+    slack = " ".join(f"WHEN '{name}' THEN {t}::DOUBLE" for name, (_, _, t) in MEASURES.items())
 
     def level(name: str, group: str) -> str:
         keys = f"{group}, " if group else ""
@@ -189,9 +197,9 @@ sketch AS (SELECT lang, source, measure, bucket, count(*) AS n FROM long GROUP B
 {level("small", "lang, source")},
 {level("middle", "lang")},
 {level("whole", "")},
-chosen AS (SELECT s.lang, s.source, s.measure, CASE WHEN s.n >= {least_group} THEN s.q1 WHEN m.n >= {least_group} THEN m.q1 ELSE w.q1 END AS q1, CASE WHEN s.n >= {least_group} THEN s.q3 WHEN m.n >= {least_group} THEN m.q3 ELSE w.q3 END AS q3
+chosen AS (SELECT s.lang, s.source, s.measure, {drawn("q1")} AS q1, {drawn("q3")} AS q3
  FROM small s JOIN middle m ON s.lang IS NOT DISTINCT FROM m.lang AND s.measure = m.measure JOIN whole w ON s.measure = w.measure),
-fenced AS (SELECT lang, source, measure, q3 + 3 * (q3 - q1) + (CASE measure {slack} END) AS high, q1 - 3 * (q3 - q1) - (CASE measure {slack} END) AS low FROM chosen),
+fenced AS (SELECT lang, source, measure, q3 + ({FENCE}::DOUBLE * (q3 - q1) + (CASE measure {slack} END)) AS high, q1 - ({FENCE}::DOUBLE * (q3 - q1) + (CASE measure {slack} END)) AS low FROM chosen),
 bounds AS (SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{name}' THEN high END) AS max_{name}" for name in MEASURES)}, max(CASE WHEN measure = 'word_length' THEN low END) AS min_word_length FROM fenced GROUP BY lang, source),
 judged AS (SELECT c.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, coalesce({within}, true) AS within_limits
  FROM counted c LEFT JOIN bounds b ON c.lang IS NOT DISTINCT FROM b.lang AND c.source IS NOT DISTINCT FROM b.source)
