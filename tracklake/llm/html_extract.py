@@ -1,12 +1,13 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is read as words and tags.  Tags score negative; words score positive
-or negative by the elements around them.  All scores are log odds learned from
-labelled pages.  A linear scan finds the contiguous run with the greatest sum;
-the blocks in it whose words score positive are the article.
-
-Words of menus, adverts, forms and the like score below zero even inside the
-region, as the lowest of the scores of the elements around a word counts.
+A page is read as words and tags.  Tags score negative; a word scores positive
+or negative by what is around it: the elements, the length, links and marks of
+its block, the length and links of the elements around that, its place in the
+page, and the names of classes.  All scores are learned from labelled pages:
+words by a logistic regression over these features, tags by how often they
+stand outside articles.  A linear scan finds the contiguous run with the
+greatest sum; its blocks are the article, but for those whose words score well
+below zero.
 
 Results for odd input: a null or empty page, or one without a positive word,
 has an empty text; broken and cut off markup is read as far as it goes; a null
@@ -17,17 +18,19 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .labelled_pages import BEGIN, END, pages
+from .quality_classifier import fit
 
 #: Elements whose content is no text, and elements by their role in HTML.
 RAW = "script|style|textarea|title|xmp"
@@ -52,50 +55,38 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""", re.I)
 _TERM = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Pages whose article stands between the comments main and /main.
-LABELLED = [
-    """<html><head><title>t</title></head><body><header class="masthead"><a class="logo">Site name</a><div class="tagline">Words about it</div></header>
-<nav class="main-nav menu"><ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li><li><a>Contact</a></li></ul></nav>
-<div class="wrapper"><div class="breadcrumbs breadcrumb"><a>Home</a> <a>News</a></div><!--main--><article><h1>One long headline of the story</h1><p>A first paragraph with many plain words that tell
-what has happened and when.</p><p>More words follow in a second one, some <b>bold</b> and some <a>linked</a>.</p><h2>A heading</h2><p>And the third paragraph goes on for some time.</p><ul><li>first point of a list</li>
-<li>second point of it</li></ul><blockquote><p>What someone said about that</p></blockquote></article><!--/main--><aside class="sidebar widget"><h3>Most read</h3><ul><li><a>Other story</a></li><li><a>Yet another story</a></li></ul></aside></div>
-<section class="comments" id="comments"><h3>Comments</h3><ol><li class="comment"><p>I think that this is good</p></li><li class="comment reply"><p>I do not think so at all</p></li></ol><form class="comment-form respond"><label>Name</label><button>Send</button></form></section>
-<footer class="colophon"><p>Copyright and imprint</p><a>Privacy</a> <a>Terms</a></footer></body></html>""",
-    """<html><body><div id="cookie-banner" class="cookie consent notice banner" role="dialog"><p>We use cookies for many ends</p><button>Accept</button></div><div id="header" class="header"><div class="search"><form>Find</form></div></div><div id="menu" class="navigation navbar" role="navigation"><a>One</a> <a>Two</a> <a>Three</a></div>
-<div class="container"><div id="content" class="content post entry"><!--main--><div class="article-body story text"><h1>Headline</h1><p>Words of the story that go on and on, line after line, until all is said.</p><p>There is a second part with more of them, and a third to come soon.</p><p>And here it is with all its words.</p></div><!--/main-->
-<div class="share social"><a>Share</a> <a>Tweet</a></div><div class="related recommended teaser"><h4>Read next</h4><a>Another headline</a> <a>One more</a></div><div class="ad ads advert advertisement advertising sponsored sponsor promo promotion"><p>Buy this now at a low price</p></div></div>
-<div id="sidebar" class="rail"><div class="newsletter subscribe signup subscription"><p>Get our letter every day</p><form><input>Mail</form></div></div></div><div id="footer" role="contentinfo" class="footer copyright legal disclaimer">All rights reserved</div></body></html>""",
-    """<html><body><div class="topbar toolbar"><a>Log in</a></div><div class="alert notification warning popup modal overlay paywall"><p>This site will be down tonight</p></div><nav><a>A</a> <a>B</a> <a>C</a> <a>D</a></nav><main role="main"><!--main--><h1>Title</h1><section><h2>Part one</h2><p>Plain words of a long text that fill the page.</p><p>They go on
-in the next paragraph for quite a while.</p><table><tr><td>cell</td><td>one more cell</td></tr></table><figure><figcaption>What the picture shows</figcaption></figure><pre>some code here</pre></section><section><h2>Part two</h2><p>Here are the last words of that text, and more to fill it up.</p></section><!--/main--></main>
-<div class="disqus discussion feedback"><p>A reader wrote this</p><p>Another one answered</p></div><aside><p>Also of note elsewhere</p></aside><form><label>Mail</label><p>Write to us here</p></form><div class="pagination pager"><a>1</a> <a>2</a></div><div class="tags meta byline"><a>tag</a> <a>other</a></div><footer><ul><li><a>Imprint</a></li><li><a>Jobs</a></li></ul></footer></body></html>""",
-]
-
-
 class Page:
-    """Text nodes of a page: block number, words, and the features around them."""
+    """Text of a page: its nodes, the elements around them, and its tags."""
 
-    __slots__ = ("nodes", "tags")
+    __slots__ = ("nodes", "tags", "parent", "name", "terms", "depth")
 
-    def __init__(self, page: str):
-        self.nodes: list[tuple[int, str, frozenset[str], int]] = []  # block, text, features, tags before it
+    def __init__(self, page: str, marks: list[tuple[int, bool]] | None = None):
+        #: Block, text, nearest block element, whether in a link, whether shown, tags before it.
+        self.nodes: list[tuple[int, str, int, bool, bool, int]] = []
         self.tags: list[str] = []
-        stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+        #: Of each block element: the one around it, its name, the terms of its names, its depth.
+        self.parent, self.name, self.terms, self.depth = [0], [""], [()], [0]
+        stack = [("", 0, False, True)]
         block = 0
         for m in _TOKEN.finditer(page):
             kind = m.lastgroup
             if kind == "text":
                 text = m["text"]
+                _, element, linked, shown = stack[-1]
                 if not text.isspace():
-                    self.nodes.append((block, text, stack[-1][1], len(self.tags)))
+                    self.nodes.append((block, text, element, linked, shown, len(self.tags)))
                 elif self.nodes and self.nodes[-1][0] == block:
-                    self.nodes.append((block, " ", stack[-1][1], len(self.tags)))
+                    self.nodes.append((block, " ", element, linked, shown, len(self.tags)))
                 continue
             if m["skip"] is not None:
+                if marks is not None and m["skip"] in (BEGIN, END):
+                    marks.append((len(self.nodes), m["skip"] == BEGIN))
+                    block += 1
                 continue
             name = m["name"].lower()
             self.tags.append(name)
             if name == "br":
-                self.nodes.append((block, " ", stack[-1][1], len(self.tags)))
+                self.nodes.append((block, " ", *stack[-1][1:], len(self.tags)))
             if name in BLOCKS:
                 block += 1
             if m["end"]:
@@ -118,73 +109,129 @@ class Page:
                         break
             if name in VOID or m["attrs"].endswith("/") and name not in BLOCKS:
                 continue
-            around = stack[-1][1]
-            own = element_features(name, m["attrs"], "article" in around or "main" in around)
-            stack.append((name, around | own if own else around))
+            _, element, linked, shown = stack[-1]
+            terms, hidden = named(m["attrs"]) if m["attrs"] else ((), False)
+            shown = shown and not hidden and name not in NO_TEXT
+            if name in BLOCKS:
+                self.parent.append(element)
+                self.name.append(name)
+                self.terms.append(terms if name not in ("html", "body") else ())
+                self.depth.append(self.depth[element] + 1)
+                element = len(self.parent) - 1
+            stack.append((name, element, linked or name == "a", shown))
 
 
-@cache
-def _terms(value: str) -> frozenset[str]:
-    return frozenset("." + t.lower() for t in _TERM.findall(value))
+def named(attrs: str) -> tuple[tuple[str, ...], bool]:
+    """The terms of an element's names, and whether it is hidden."""
+    terms, hidden = [], False
+    for m in _ATTR.finditer(attrs):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role", "itemprop"):
+            terms += ["." + t.lower() for t in _TERM.findall(value)]
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            hidden = True
+    return tuple(terms), hidden
 
 
-def element_features(name: str, attrs: str, inside: bool) -> frozenset[str]:
-    """What an element adds to the features of the words in it.
+def _size(n: int) -> int:
+    return min(n.bit_length(), 10)
 
-    ``inside``: an article is around it; a header there may hold its headline.
-    """
-    found = {name + "'" if name in ("header", "hgroup") and inside else name} if name in BLOCKS or name == "a" else set()
-    if name in NO_TEXT:
-        found.add("#none")
-    if attrs and name not in ("html", "body"):
-        for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id", "role", "itemprop"):
-                found |= _terms(value) - {".header"} if inside else _terms(value)
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" and name in BLOCKS or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                found.add("#none")
-    return frozenset(found)
+
+def _part(a: int, b: int) -> int:
+    """Five steps of a share."""
+    return 0 if not a else 4 if a == b else 1 + min(2, 3 * a // b)
+
+
+def blocks(page: Page) -> tuple[list[list[int]], list[list[str]], list[int]]:
+    """For each block: its nodes, the features of its words, and how many they are."""
+    n = len(page.parent)
+    words, linked, held = [0] * n, [0] * n, [0] * n
+    members: list[list[int]] = []
+    stats: list[list[int]] = []
+    last = None
+    for i, (block, text, element, link, shown, _) in enumerate(page.nodes):
+        if block != last:
+            members.append([])
+            stats.append([0, 0, 0, element])
+            held[element] += 1
+            last = block
+        members[-1].append(i)
+        if shown:
+            k = len(text.split())
+            stats[-1][0] += k
+            stats[-1][1] += k * link
+            stats[-1][2] += sum(map(text.count, ".,;:!?"))
+            words[element] += k
+            linked[element] += k * link
+    for e in range(n - 1, 0, -1):  # elements come after those around them
+        up = page.parent[e]
+        words[up] += words[e]
+        linked[up] += linked[e]
+        held[up] += held[e]
+    whole, seen, found = max(1, words[0]), 0, []
+    for j, (k, links, marks, e) in enumerate(stats):
+        one, two = page.parent[e], page.parent[page.parent[e]]
+        before = stats[j - 1] if j else (0, 0, 0, 0)
+        after = stats[j + 1] if j + 1 < len(stats) else (0, 0, 0, 0)
+        features = {
+            f"tag {page.name[e]}", f"words {_size(k)}", f"links {_part(links, k)}", f"marks {_size(marks)}", f"long {_size(k)} {_part(links, k)} {min(marks, 2)}",
+            f"own {_size(words[e])} {_part(linked[e], words[e])}", f"own held {_size(held[e])}",
+            f"up {_size(words[one])} {_part(linked[one], words[one])}", f"up held {_size(held[one])}", f"up name {page.name[one]} {page.name[e]}",
+            f"upper {_size(words[two])} {_part(linked[two], words[two])}", f"upper share {5 * words[two] // whole}", f"up share {5 * words[one] // whole}", f"own share {5 * words[e] // whole}",
+            f"place {min(9, 10 * seen // whole)}", f"depth {min(page.depth[e], 12)}",
+            f"before {_size(before[0])} {_part(before[1], before[0])}", f"after {_size(after[0])} {_part(after[1], after[0])}",
+        }
+        seen += k
+        at = e
+        while at:
+            features.add(f"in {page.name[at]}")
+            features.update(page.terms[at])
+            at = page.parent[at]
+        found.append(sorted(features))
+    return members, found, [s[0] for s in stats]
 
 
 class Weights:
-    """Log odds of features around words, and of tags, from labelled pages."""
-
-    LOWEST, HIGHEST, PRIOR = -4.0, 2.0, 0.3
-
-    def __init__(self, pages: list[str] | None = None):
-        main, other, tags_main, tags = Counter(), Counter(), Counter(), Counter()
-        for page in LABELLED if pages is None else pages:
-            head, middle = page.split("<!--main-->")
-            before = len(Page(head).tags)
-            within = len(Page(head + middle.split("<!--/main-->")[0]).tags)
-            whole = Page(page)
-            for _, text, around, at in whole.nodes:
-                (main if before <= at <= within and at > 0 else other).update({f: len(text.split()) for f in around})
-            tags_main.update(whole.tags[before:within])
-            tags.update(whole.tags)
-        self.around = {f: self._clip(math.log((main[f] + 0.25) / (other[f] + 0.25))) for f in main | other}
-        self.around["#none"] = self.LOWEST
-        for f in ("html", "body", "div", "section", "p", "ul", "ol", "li", "a", "table", "tr", "td", "h1", "h2", "h3", "h4"):
-            # elements that stand in both: their words follow what is around them
-            self.around[f] = max(0.0, self.around.get(f, 0.0)) if f != "a" else 0.0
-        self.tags = {t: -0.05 - 0.5 * (1 - tags_main[t] / n) for t, n in tags.items()}
-        self._cached: dict[frozenset[str], float] = {}
-
-    def _clip(self, x: float) -> float:
-        return min(self.HIGHEST, max(self.LOWEST, x))
-
-    def word(self, around: frozenset[str], classes: bool = True) -> float:
-        """The score of a word: its lowest feature if one is clearly negative."""
-        score = self._cached.get(around) if classes else None
-        if score is None:
-            known = [self.around[f] for f in around if f in self.around and (classes or f[0] != ".")]
-            low, high = min(known, default=0.0), max(known, default=0.0)
-            score = low if low < -0.5 else self.PRIOR + high
-            if "a" in around and score > 0 and not around & {"article", "main", "p"}:
-                score = -0.3
-            if classes and len(self._cached) < 100_000:
-                self._cached[around] = score
-        return score
+    """Scores of a word by its features, and of tags, from labelled pages."""
+
+    MOST = 3.0
+
+    def __init__(self, labelled: Iterable[str], l2: float = 2e-4):
+        rows, grades, counts = [], [], []
+        inside, tags = Counter(), Counter()
+        number: dict[str, int] = {}
+        for text in labelled:
+            marks: list[tuple[int, bool]] = []
+            page = Page(text, marks)
+            main = [False] * len(page.nodes)
+            for (a, on), (b, _) in zip(marks, [*marks[1:], (len(page.nodes), False)], strict=True):
+                main[a:b] = [on] * (b - a)
+            seen = 0
+            for (_, _, _, _, _, at), on in zip(page.nodes, main, strict=True):
+                tags.update(page.tags[seen:at])
+                inside.update(page.tags[seen:at] if on else ())
+                seen = at
+            members, features, words = blocks(page)
+            for nodes, own, k in zip(members, features, words, strict=True):
+                if k:
+                    rows.append(np.array([number.setdefault(f, len(number)) for f in own], np.int64))
+                    grades.append(int(main[nodes[0]]))
+                    counts.append(k)
+        # a feature of a few blocks tells nothing of other pages
+        often = np.bincount(np.concatenate(rows), minlength=len(number)) >= 8
+        place = np.cumsum(often) - 1
+        columns = [place[r[often[r]]] for r in rows]
+        model = fit(np.arange(int(often.sum())), columns, np.array(grades), 2, l2)
+        self.around = {f: float(model.weights[place[i]]) for f, i in number.items() if often[i]}
+        self.base = -float(model.thresholds[0])
+        # a tag that mostly stands outside of articles ends a region sooner
+        self.tags = {t: -0.05 - 0.5 * (1 - inside[t] / n) for t, n in tags.items()}
+
+    def word(self, features: list[str], names: bool = True) -> float:
+        """Log odds that a word with these features is the article's."""
+        get = self.around.get
+        score = self.base + sum(get(f, 0.0) for f in features if names or f[0] != ".")
+        return min(self.MOST, max(-self.MOST, score))
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.1)
@@ -202,50 +249,56 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+#: A block of the region goes if its words score below this: a short one next to others is rather the article's.
+LEAST = -0.7
+
+
 @cache
-def default_weights() -> Weights:
-    return Weights()
+def default_weights(n: int = 1500, seed: int = 1) -> Weights:
+    """From n labelled pages; the only weights that are kept."""
+    return Weights(pages(n, seed))
 
 
 def main_text(page: str, weights: Weights | None = None) -> str:
-    """The blocks of the best region, one per line."""
+    """The blocks of the best region, one per line.
+
+    If no word scores positive, names of classes are left out of account.
+    """
     weights = weights or default_weights()
     read = Page(page)
-    for classes in (True, False):
-        words = [weights.word(around, classes) for _, _, around, _ in read.nodes]
-        scores, seen = [], 0
-        for (_, text, _, at), word in zip(read.nodes, words, strict=True):
-            scores.append(sum(map(weights.tag, read.tags[seen:at])) + word * len(text.split()))
+    members, features, words = blocks(read)
+    low = high = 0
+    scores: list[float] = []
+    for names in (True, False):
+        scores = [weights.word(f, names) if k else 0.0 for f, k in zip(features, words, strict=True)]
+        line, seen = [], 0
+        for nodes, score, k in zip(members, scores, words, strict=True):
+            at = read.nodes[nodes[-1]][5]
+            line.append(sum(map(weights.tag, read.tags[seen:at])) + score * k)
             seen = at
-        low, high = best_region(scores)
+        low, high = best_region(line)
         if high > low:
             break
-    lines: list[str] = []
-    last = None
-    parts: list[str] = []
-    for (block, text, _, _), word in zip(read.nodes[low:high], words[low:high], strict=True):
-        if word <= 0:
-            continue
-        if block != last and parts:
-            lines.append(" ".join(html.unescape("".join(parts)).split()))
-            parts = []
-        last = block
-        parts.append(text)
-    lines.append(" ".join(html.unescape("".join(parts)).split()))
+    lines = []
+    for nodes, score in zip(members[low:high], scores[low:high], strict=True):
+        if score > LEAST:
+            text = "".join(read.nodes[i][1] for i in nodes if read.nodes[i][4])
+            lines.append(" ".join(html.unescape(text).split()))
     return "\n".join(line for line in lines if line)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(table: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page; no shuffle."""
+    known = weights or default_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                texts = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
+                texts = [main_text(h, known) if h else "" for h in batch.column("html").to_pylist()]
                 yield pa.record_batch([
                     batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
                 ], names=["page_id", "url", "text", "n_chars"])
 
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    source = table.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return map_batches(source, run, "page_id long, url string, text string, n_chars long")
