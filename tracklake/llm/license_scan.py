@@ -1,8 +1,10 @@
 """License notices by an exact set-similarity join with templates.
 
-A block is a window of 48 words that starts at every 16th word of a text.  It
-matches a template if it holds enough of the template's distinct words: four
-fifths of them, or all where the template has fewer than ten.  Template words
+A block is a window of 48 words that starts at a template's word; a window that
+starts elsewhere holds no more of them than the next one that does, so every
+place of a text is tested.  A block matches a template if it holds enough of
+the template's distinct words: four fifths of them, or all where the template
+has fewer than ten, as few common words stand together by chance.  Template words
 are ordered by their frequency in the corpus, rarest first.  A matching block
 must then hold one of a template's first words (prefix filter), be long enough
 (length filter), and have enough words left from its first common one on
@@ -52,7 +54,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-BLOCK, STRIDE = 48, 16
+BLOCK = 48
 
 
 class Templates:
@@ -139,13 +141,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     def blocks(at: np.ndarray, numbers: np.ndarray, n: int) -> list[dict]:
         """Matches in one text, given its template words."""
-        starts = set()
-        for i in at[known.in_prefix[numbers]].tolist():
-            low = max(0, -(-(i - BLOCK + 1) // STRIDE))
-            starts.update(range(low * STRIDE, i + 1, STRIDE))
+        rare = at[known.in_prefix[numbers]]
+        # windows that hold one of the prefixes' words
+        ends = np.searchsorted(at, at + BLOCK)
+        holding = np.searchsorted(rare, at + BLOCK) > np.searchsorted(rare, at)
         found = []
-        for s in sorted(starts):
-            a, b = np.searchsorted(at, (s, s + BLOCK))
+        for a in np.flatnonzero(holding).tolist():
+            s, b = int(at[a]), int(ends[a])
             size = min(BLOCK, n - s)
             for t, part in known.matches(set(numbers[a:b].tolist()), size):
                 found.append({"label": known.labels[t], "first_word": s, "n_words": size, "containment": part})
