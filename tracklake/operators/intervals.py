@@ -1,50 +1,101 @@
 """Interval algebra: overlap joins, merging, subtraction, windows, masks.
 
 Intervals are 0-based and half open.  Theta joins go through an equi-join on
-``(contig, bin)``: an interval is listed once for each bin that it touches and
-the pair counts in the first bin that both touch, so no pair comes twice and
-no distinct is needed.  A hot contig is spread over its bins.
+``(contig, level, bin)``.  Bins are about as wide as the left intervals, and
+64 times wider on each level above, so that an interval of any length lies in
+some dozens of bins of its own level.  A pair meets on the level of its longer
+interval, and counts in the first bin that both touch, so no pair comes twice
+and no distinct is needed.  A hot contig is spread over its bins.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bin width in bases; a power of two near usual range lengths.
-BIN = 1024
+#: Bins of a level to the length up to which an interval is on it, and levels in all.
+FAN, LEVELS = 64, 6
+#: Least and greatest width of the lowest level's bins.
+NARROW, WIDE = 16, 1 << 20
+
+
+def bin_width(df: DataFrame, start: str = "start", end: str = "end") -> tuple[int, int]:
+    """(bin width, highest level) for these intervals, by one small aggregate."""
+    size = F.col(end) - F.col(start)
+    mean, most = df.agg(F.avg(size), F.max(size)).first()
+    width = 1 << round(math.log2(min(max(mean or NARROW, NARROW), WIDE)))
+    return width, _level_of(most or 0, width)
+
+
+def _level_of(length: int, width: int) -> int:
+    level = 0
+    while length > FAN * width * FAN**level and level < LEVELS - 1:
+        level += 1
+    return level
 
 
-def _bins(df: DataFrame, start: str, end: str, width: int, first: str) -> DataFrame:
-    low = F.floor(F.col(start) / width)
-    high = F.greatest(F.floor((F.col(end) - 1) / width), low)
-    return df.withColumn(first, low).withColumn("_bin", F.explode(F.sequence(low, high)))
+def _level(length: Column, width: int) -> Column:
+    found = F.lit(LEVELS - 1)
+    for level in range(LEVELS - 2, -1, -1):
+        found = F.when(length <= FAN * width * FAN**level, level).otherwise(found)
+    return found
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, prefix: str = "r_", extra: list[str] | None = None) -> DataFrame:
+def _listed(df: DataFrame, start: str, end: str, width: int, highest: int, name: str) -> DataFrame:
+    """``df`` with one row for each bin that an interval touches, from its own level to ``highest``.
+
+    name_level is the interval's own level; name_at the level, name_bin the bin,
+    and name_first the interval's first bin there.
+    """
+    own = _level(F.col(end) - F.col(start), width)
+    rows = df.withColumn(f"{name}_level", own)
+    if highest:
+        rows = rows.withColumn(f"{name}_at", F.explode(F.sequence(F.col(f"{name}_level"), F.greatest(F.col(f"{name}_level"), F.lit(highest)))))
+    else:
+        rows = rows.withColumn(f"{name}_at", F.col(f"{name}_level"))
+    step = F.lit(width).cast("bigint")
+    for level in range(1, LEVELS):
+        step = F.when(F.col(f"{name}_at") == level, F.lit(width * FAN**level).cast("bigint")).otherwise(step)
+    low = F.floor(F.col(start) / step)
+    high = F.greatest(F.floor((F.col(end) - 1) / step), low)
+    return rows.withColumn(f"{name}_first", low).withColumn(f"{name}_bin", F.explode(F.sequence(low, high)))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, prefix: str = "r_", extra: dict[str, str] | None = None) -> DataFrame:
     """Pairs of overlapping intervals; right columns get ``prefix``.
 
-    Both sides have contig, start and end.  ``extra``: columns that must be
-    equal too (sample, strand); they join the key.
+    Both sides have contig, start and end.  ``extra``: left columns and the
+    right ones that must be equal to them (sample, strand); they join the key.
+    ``width``: of the bins, else by the lengths on the left.
     """
-    keys = ["contig", *(extra or [])]
-    a = _bins(left, "start", "end", width, "_lf")
+    width, highest = (width, LEVELS - 1) if width else bin_width(left)
+    # the left may meet longer intervals of the right on any level
+    a = _listed(left, "start", "end", width, LEVELS - 1, "_l")
     b = right.select(*(F.col(c).alias(prefix + c) for c in right.columns))
-    b = _bins(b, f"{prefix}start", f"{prefix}end", width, "_rf").withColumnRenamed("_bin", "_rbin")
-    same = F.col("_bin") == F.col("_rbin")
-    for k in keys:
-        same = same & (a[k] == b[prefix + k])
-    theta = (F.col("start") < F.col(f"{prefix}end")) & (F.col(f"{prefix}start") < F.col("end")) & (F.col("_bin") == F.greatest("_lf", "_rf"))
-    return a.join(b, same & theta).drop("_bin", "_rbin", "_lf", "_rf")
+    b = _listed(b, f"{prefix}start", f"{prefix}end", width, highest, "_r")
+    same = (F.col("_l_bin") == F.col("_r_bin")) & (F.col("_l_at") == F.col("_r_at"))
+    for own, other in {"contig": "contig", **(extra or {})}.items():
+        same = same & (a[own] == b[prefix + other])
+    theta = (F.col("start") < F.col(f"{prefix}end")) & (F.col(f"{prefix}start") < F.col("end"))
+    once = (F.col("_l_at") == F.greatest("_l_level", "_r_level")) & (F.col("_l_bin") == F.greatest("_l_first", "_r_first"))
+    return a.join(b, same & theta & once).drop(*(f"{side}_{c}" for side in ("_l", "_r") for c in ("level", "at", "first", "bin")))
 
 
-def point_join(points: DataFrame, ranges: DataFrame, width: int = BIN, prefix: str = "r_") -> DataFrame:
+def point_join(points: DataFrame, ranges: DataFrame, width: int | None = None, prefix: str = "r_") -> DataFrame:
     """Pairs of a point (contig, pos) and a range that holds it."""
-    a = points.withColumn("_bin", F.floor(F.col("pos") / width))
+    width, highest = (width, LEVELS - 1) if width else bin_width(ranges)
+    a = points.withColumn("_p_at", F.explode(F.sequence(F.lit(0), F.lit(highest)))) if highest else points.withColumn("_p_at", F.lit(0))
+    step = F.lit(width).cast("bigint")
+    for level in range(1, highest + 1):
+        step = F.when(F.col("_p_at") == level, F.lit(width * FAN**level).cast("bigint")).otherwise(step)
+    a = a.withColumn("_p_bin", F.floor(F.col("pos") / step))
     b = ranges.select(*(F.col(c).alias(prefix + c) for c in ranges.columns))
-    b = _bins(b, f"{prefix}start", f"{prefix}end", width, "_rf").withColumnRenamed("_bin", "_rbin").drop("_rf")
-    holds = (F.col("contig") == F.col(f"{prefix}contig")) & (F.col("_bin") == F.col("_rbin"))
-    return a.join(b, holds & (F.col("pos") >= F.col(f"{prefix}start")) & (F.col("pos") < F.col(f"{prefix}end"))).drop("_bin", "_rbin")
+    b = _listed(b, f"{prefix}start", f"{prefix}end", width, 0, "_r")
+    holds = (F.col("contig") == F.col(f"{prefix}contig")) & (F.col("_p_bin") == F.col("_r_bin")) & (F.col("_p_at") == F.col("_r_at"))
+    inside = (F.col("pos") >= F.col(f"{prefix}start")) & (F.col("pos") < F.col(f"{prefix}end"))
+    return a.join(b, holds & inside).drop("_p_at", "_p_bin", "_r_level", "_r_at", "_r_first", "_r_bin")
 
 
 def clusters(ranges: DataFrame, by: list[str], slack: int = 0) -> DataFrame:
@@ -69,16 +120,21 @@ def merge_ranges(ranges: DataFrame, by: list[str] | None = None, slack: int = 0,
     return grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"), *joined).drop("_cluster")
 
 
-def subtract(left: DataFrame, holes: DataFrame, width: int = BIN, extra: list[str] | None = None) -> DataFrame:
-    """The parts of each left interval outside all holes; other columns stay."""
-    tagged = left.withColumn("_id", F.monotonically_increasing_id())
-    cut = overlap_join(tagged, holes, width, "h_", extra).select("_id", F.greatest("start", "h_start").alias("bs"), F.least("end", "h_end").alias("be"))
+def subtract(left: DataFrame, holes: DataFrame, width: int | None = None, extra: dict[str, str] | None = None) -> DataFrame:
+    """The parts of each left interval outside all holes; other columns stay.
+
+    Pieces are cut for each distinct interval, and joined back by its place:
+    no row needs a number that could change when a task runs again.
+    """
+    keys = ["contig", "start", "end", *(extra or {})]
+    own = left.select(*keys).distinct()
+    cut = overlap_join(own, holes, width, "h_", extra).select(*keys, F.greatest("start", "h_start").alias("bs"), F.least("end", "h_end").alias("be"))
     # a hole of length zero at the end closes the last piece
-    edges = cut.union(tagged.select("_id", F.col("end").alias("bs"), F.col("end").alias("be")))
-    order = Window.partitionBy("_id").orderBy("bs", "be")
-    reach = F.max("be").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    pieces = edges.withColumn("_from", reach)
-    whole = tagged.join(pieces, "_id").withColumn("_from", F.coalesce("_from", "start")).where(F.col("_from") < F.col("bs"))
+    edges = cut.union(own.select(*keys, F.col("end").alias("bs"), F.col("end").alias("be")))
+    order = Window.partitionBy(*keys).orderBy("bs", "be")
+    reach = F.coalesce(F.max("be").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("start"))
+    pieces = edges.withColumn("_from", reach).where(F.col("_from") < F.col("bs"))
+    whole = left.join(pieces.select(*keys, "_from", "bs"), keys)
     columns = [F.col("_from").alias("start") if c == "start" else F.col("bs").alias("end") if c == "end" else F.col(c) for c in left.columns]
     return whole.select(*columns)
 
@@ -108,7 +164,7 @@ def tile_genome(contigs: DataFrame, width: int = 128) -> DataFrame:
     return fixed_windows(contigs.where(~F.col("contig").contains("_")), width)
 
 
-def annotate(intervals: DataFrame, features: DataFrame, width: int = BIN, prefix: str = "feature_", require_overlap: bool = True) -> DataFrame:
+def annotate(intervals: DataFrame, features: DataFrame, width: int | None = None, prefix: str = "feature_", require_overlap: bool = True) -> DataFrame:
     """Intervals with each feature that they overlap; else, once, with nulls."""
     joined = overlap_join(intervals, features, width, prefix)
     if require_overlap:
@@ -118,7 +174,7 @@ def annotate(intervals: DataFrame, features: DataFrame, width: int = BIN, prefix
     return joined.unionByName(lone, allowMissingColumns=True)
 
 
-def position_mask(positions: DataFrame, ranges: DataFrame, width: int = BIN) -> DataFrame:
+def position_mask(positions: DataFrame, ranges: DataFrame, width: int | None = None) -> DataFrame:
     """contig, pos and whether any range of the contig holds it."""
     hits = point_join(positions, ranges, width).select("contig", "pos").distinct().withColumn("_hit", F.lit(True))
     return positions.join(hits, ["contig", "pos"], "left").withColumn("in_range", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METHODS = ("cpm", "rpkm", "tpm")
@@ -39,7 +39,10 @@ def normalise(signal: DataFrame, sizes: DataFrame, method: str, variables: list[
         raise ValueError(f"{kind} needs lengths")
     if kind == "tpm":
         kb = F.col(length) / 1000
-        return signal.withColumns({v: F.col(v) / kb / (F.sum(F.col(v) / kb).over(Window.partitionBy("sample")) / 1e6) for v in variables})
+        # one row of totals for each sample
+        totals = signal.groupBy("sample").agg(*(F.sum(F.col(v) / kb).alias(f"_total_{v}") for v in variables))
+        joined = signal.join(F.broadcast(totals), "sample")
+        return joined.withColumns({v: F.col(v) / kb / (F.col(f"_total_{v}") / 1e6) for v in variables}).drop(*totals.columns[1:])
     sized = with_sizes(signal, sizes, strict)
     per = F.lit(1.0) if kind == "cpm" else F.col(length) / 1000
     return sized.withColumns({v: cpm(F.col(v)) / per for v in variables}).drop("library_size")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import BIN, merge_ranges, overlap_join, subtract, tile_genome
+from .intervals import merge_ranges, overlap_join, subtract, tile_genome
 
 
 def quantile_peaks(tiles: DataFrame, quantile: float = 0.98, merge: bool = True, blacklist: DataFrame | None = None, slack: int = 0) -> DataFrame:
@@ -25,7 +25,7 @@ def quantile_peaks(tiles: DataFrame, quantile: float = 0.98, merge: bool = True,
     return high
 
 
-def tile_signal(signal: DataFrame, tiles: DataFrame, width: int = BIN) -> DataFrame:
+def tile_signal(signal: DataFrame, tiles: DataFrame, width: int | None = None) -> DataFrame:
     """Mean of segments (sample, contig, start, end, value) over each tile; gaps are 0."""
     cut = overlap_join(tiles, signal, width, "s_")
     area = F.sum(F.col("s_value") * (F.least("end", "s_end") - F.greatest("start", "s_start")))

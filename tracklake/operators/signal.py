@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Reduction
-from .intervals import BIN, clip, overlap_join
+from .intervals import clip, overlap_join
 from .ranges import anchored, window_extent
 
 
@@ -45,7 +45,7 @@ def _statistics(length: Column, reductions: list[str]) -> list[Column]:
     return found
 
 
-def reduce_ranges(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, samples: DataFrame, reductions: list[str] | None = None, strand_mode: int | str | None = None, min_count: int = 1, width: int = BIN) -> DataFrame:
+def reduce_ranges(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, samples: DataFrame, reductions: list[str] | None = None, strand_mode: int | str | None = None, min_count: int = 1, width: int | None = None) -> DataFrame:
     """One row per (range_index, sample): sum, count, mean and the reductions.
 
     ranges: range_index, contig, start, end, and strand for a strand mode.
@@ -58,7 +58,7 @@ def reduce_ranges(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, sa
     ranges = ranges.withColumn("_want", wanted_strand(strand_mode))
     keys = [c for c in ("range_index", "contig", "start", "end", "range_length", "strand", "name") if c in ranges.columns]
     side = ranges.select(*keys, "_want")
-    pairs = overlap_join(side.drop("strand", "name"), coverage.withColumnRenamed("strand", "_strand"), width, "c_").where(F.col("_want") == F.col("c__strand"))
+    pairs = overlap_join(side.drop("strand", "name"), coverage, width, "c_", {"_want": "strand"})
     held = pairs.select(
         "range_index", F.col("c_sample").alias("sample"), "range_length", F.col("c_value").alias("value"),
         (F.least("end", "c_end") - F.greatest("start", "c_start")).alias("n"),
@@ -82,7 +82,7 @@ def reduce_ranges(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, sa
     return whole.withColumns(filled).withColumn("count", F.col("range_length").cast("bigint"))
 
 
-def extract_windows(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, samples: DataFrame, fixed_width: int | None = None, upstream: int | None = None, downstream: int | None = None, anchor: str = "midpoint", bin_size: int | None = None, bin_agg: str = "mean", strand_aware: bool = False, force_strand: str | None = None, width: int = BIN) -> DataFrame:
+def extract_windows(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, samples: DataFrame, fixed_width: int | None = None, upstream: int | None = None, downstream: int | None = None, anchor: str = "midpoint", bin_size: int | None = None, bin_agg: str = "mean", strand_aware: bool = False, force_strand: str | None = None, width: int | None = None) -> DataFrame:
     """(interval, bin or position, sample, value) of windows around ranges.
 
     With no extent, the ranges themselves are the windows, and a remainder
@@ -116,7 +116,7 @@ def extract_windows(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame,
     spine = spine.withColumns({"_s": F.greatest("_s", F.lit(0)), "_e": F.least("_e", "length")}).withColumn("_n", F.greatest(F.col("_e") - F.col("_s"), F.lit(0)))
     # overlaps of whole windows with segments, then one row for each bin that both touch
     core = wins.where("_bins > 0").select("range_index", "contig", "win_start", F.greatest("win_start", F.lit(0)).alias("start"), F.least(F.col("win_start") + F.col("_bins") * step, F.col("length")).alias("end"), "_want")
-    pairs = overlap_join(core.where("end > start"), coverage.withColumnRenamed("strand", "_strand"), width, "c_").where(F.col("_want") == F.col("c__strand"))
+    pairs = overlap_join(core.where("end > start"), coverage, width, "c_", {"_want": "strand"})
     cut = pairs.select("range_index", "win_start", F.col("c_sample").alias("sample"), F.col("c_value").alias("value"), F.greatest("start", "c_start").alias("s"), F.least("end", "c_end").alias("e"))
     cut = cut.withColumn("bin", F.explode(F.sequence(F.floor((F.col("s") - F.col("win_start")) / step), F.floor((F.col("e") - 1 - F.col("win_start")) / step))))
     low, high = F.col("win_start") + F.col("bin") * step, F.col("win_start") + (F.col("bin") + 1) * step

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import BIN, point_join
+from .intervals import point_join
 from .ranges import anchored, window_extent
 
 
@@ -16,7 +16,7 @@ def methylated(split: bool) -> tuple[Column, Column]:
     return F.col("n_methylated"), F.col("n_unmethylated")
 
 
-def count_methylation(sites: DataFrame, features: DataFrame, samples: DataFrame, split: bool = False, width: int = BIN) -> DataFrame:
+def count_methylation(sites: DataFrame, features: DataFrame, samples: DataFrame, split: bool = False, width: int | None = None) -> DataFrame:
     """Per (range_index, sample): counts, covered sites, ratio and mean percentage; and sites in all."""
     m, u = methylated(split)
     side = features.select("range_index", "contig", "start", "end")
@@ -34,7 +34,7 @@ def count_methylation(sites: DataFrame, features: DataFrame, samples: DataFrame,
     return whole.withColumn("methylation_ratio", ratio.cast("double"))
 
 
-def methylation_windows(sites: DataFrame, ranges: DataFrame, samples: DataFrame, n_bins: int, variable: str = "methylation_pct", fixed_width: int | None = None, upstream: int | None = None, downstream: int | None = None, anchor: str = "midpoint", width: int = BIN) -> DataFrame:
+def methylation_windows(sites: DataFrame, ranges: DataFrame, samples: DataFrame, n_bins: int, variable: str = "methylation_pct", fixed_width: int | None = None, upstream: int | None = None, downstream: int | None = None, anchor: str = "midpoint", width: int | None = None) -> DataFrame:
     """(range_index, bin, sample, value) means of sites in windows, 5' to 3'.
 
     The bin of a site is its place times n_bins over the width, mirrored on
