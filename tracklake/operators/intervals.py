@@ -73,14 +73,18 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, pr
     width, highest = (width, LEVELS - 1) if width else bin_width(left)
     # the left may meet longer intervals of the right on any level
     a = _listed(left, "start", "end", width, LEVELS - 1, "_l")
+    # kind 0: whom the right lists on its own level; kind 1: on a higher one, where only the left's own level counts
+    kinds = F.when(F.col("_l_at") == F.col("_l_level"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))) if highest else None
+    a = a.withColumn("_l_kind", F.explode(kinds) if highest else F.lit(0))
     b = right.select(*(F.col(c).alias(prefix + c) for c in right.columns))
     b = _listed(b, f"{prefix}start", f"{prefix}end", width, highest, "_r")
-    same = (F.col("_l_bin") == F.col("_r_bin")) & (F.col("_l_at") == F.col("_r_at"))
+    b = b.withColumn("_r_kind", (F.col("_r_at") > F.col("_r_level")).cast("int") if highest else F.lit(0))
+    same = (F.col("_l_kind") == F.col("_r_kind")) & (F.col("_l_bin") == F.col("_r_bin")) & (F.col("_l_at") == F.col("_r_at"))
     for own, other in {"contig": "contig", **(extra or {})}.items():
         same = same & (a[own] == b[prefix + other])
     theta = (F.col("start") < F.col(f"{prefix}end")) & (F.col(f"{prefix}start") < F.col("end"))
     once = (F.col("_l_at") == F.greatest("_l_level", "_r_level")) & (F.col("_l_bin") == F.greatest("_l_first", "_r_first"))
-    return a.join(b, same & theta & once).drop(*(f"{side}_{c}" for side in ("_l", "_r") for c in ("level", "at", "first", "bin")))
+    return a.join(b, same & theta & once).drop(*(f"{side}_{c}" for side in ("_l", "_r") for c in ("level", "at", "first", "bin", "kind")))
 
 
 def point_join(points: DataFrame, ranges: DataFrame, width: int | None = None, prefix: str = "r_") -> DataFrame:
