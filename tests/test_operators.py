@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from tracklake.operators import intervals, peaks, ranges, signal, stats
@@ -93,14 +94,22 @@ def test_bam(spark, tmp_path):
         return struct.pack("<i", len(body)) + body
 
     head = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
-    data = head + record(10, 0, [(5, 0), (3, 3), (4, 0)]) + record(12, 16, [(6, 0)], b"q\0") + record(0, 4, [], b"u\0")
+    data = head + record(10, 0, [(5, 0), (3, 3), (4, 0)]) + record(12, 16, [(6, 0)], b"q\0") + record(0, 4, [], b"u\0") + record(500, 0x100, [(7, 0)]) + record(600, 0x800 | 0x10, [(5, 0)])
     path = tmp_path / "x.bam"
     path.write_bytes(bgzf(data[:40]) + bgzf(data[40:]) + bgzf(b""))
     assert bam.header(str(path)) == [("chr1", 1000)]
     reads = bam.read_bam(spark, str(path))
     found = signal.sweep(bam.coverage_blocks(reads, "s")).orderBy("start").collect()
-    assert [(r["start"], r["end"], r["value"]) for r in found] == [(10, 12, 1), (12, 15, 2), (15, 22, 1)]
-    assert bam.mapped_reads(reads).first()["total_reads"] == 2
+    assert [(r["start"], r["end"], r["value"]) for r in found] == [(10, 12, 1), (12, 15, 2), (15, 22, 1), (500, 507, 1), (600, 605, 1)]
+    # all mapped records count, secondary and supplementary ones too; stranded coverage has the primary ones only
+    assert bam.mapped_reads(reads).first()["total_reads"] == 4
+    for library, own, other in (("U", "+", "-"), ("F", "+", "-"), ("R", "-", "+")):
+        sides = {(r["strand"], r["start"]): r["value"] for r in signal.sweep(bam.coverage_blocks(reads, "s", library)).collect()}
+        assert sides[own, 10] == 1 and sides[other, 12] == 1 and (own, 500) not in sides and (other, 600) not in sides
+    mates = record(10, 0x1 | 0x40, [(5, 0)]) + record(30, 0x1 | 0x80 | 0x10, [(5, 0)])
+    path.write_bytes(bgzf(head + mates) + bgzf(b""))
+    for library, strand in (("F", "+"), ("R", "-")):  # both mates of a pair are on one strand
+        assert {r["strand"] for r in bam.coverage_blocks(bam.read_bam(spark, str(path)), "s", library).where("strand <> '*'").collect()} == {strand}
 
 
 def test_store_commits_and_resumes(spark, tmp_path):
@@ -123,3 +132,34 @@ def test_missing_values_in_matrices(spark):
     assert sorted(r["value"] for r in stats.handle_missing(m, "mean").collect()) == [1.0, 2.0, 3.0, 4.0, 4.0, 5.0]
     with pytest.raises(ValueError):
         stats.handle_missing(m, "other")
+
+
+def test_pca_against_svd(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9, 6))  # features by samples
+    m = frame(spark, [(f, s, float(x[f, s])) for f in range(9) for s in range(6)], "feature int, sample int, value double")
+    scores, ratios = stats.pca(m, 3)
+    u, d, _ = np.linalg.svd((x - x.mean(1, keepdims=True)).T, full_matrices=False)
+    for r in scores.collect():
+        k = r["component"] - 1
+        assert abs(abs(r["score"]) - abs(u[r["sample"], k] * d[k])) < 1e-9
+    want = d[:3] ** 2 / (d ** 2).sum()
+    assert np.allclose([r["ratio"] for r in ratios.orderBy("component").collect()], want)
+    assert np.allclose([r["cumulative"] for r in stats.scree(ratios).orderBy("component").collect()], np.cumsum(want))
+
+
+def test_joins_of_mixed_lengths(spark):
+    # lengths from one base to a whole contig on both sides, by brute force
+    rng = random.Random(12)
+    make = lambda n: [(i, f"chr{rng.randrange(2)}", s := rng.randrange(10**6), s + rng.choice((1, 5, 90, 3000, 70_000, 10**6))) for i in range(n)]
+    left, right = make(120), make(150)
+    schema = "range_index bigint, contig string, start bigint, end bigint"
+    a, b = frame(spark, left, schema), frame(spark, right, schema)
+    want = sorted((x[0], y[0]) for x in left for y in right if x[1] == y[1] and x[2] < y[3] and y[2] < x[3])
+    for width in (None, 64):
+        assert sorted((r["range_index"], r["r_range_index"]) for r in intervals.overlap_join(a, b, width).collect()) == want
+    short = a.where("end - start < 100")
+    assert sorted((r["range_index"], r["r_range_index"]) for r in intervals.overlap_join(short, b).collect()) == [p for p in want if left[p[0]][3] - left[p[0]][2] < 100]
+    points = frame(spark, [(c, p) for c in ("chr0", "chr1") for p in range(0, 10**6, 9973)], "contig string, pos bigint")
+    got = sorted((r["contig"], r["pos"], r["r_range_index"]) for r in intervals.point_join(points, b).collect())
+    assert got == sorted((c, p, y[0]) for c in ("chr0", "chr1") for p in range(0, 10**6, 9973) for y in right if y[1] == c and y[2] <= p < y[3])

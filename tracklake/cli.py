@@ -15,10 +15,14 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tracklake")
     top.add_argument("--version", action="version", version=VERSION)
     sub = top.add_subparsers(dest="command", required=True)
-    create = sub.add_parser("create-dataset", help="build a coverage store from alignment files")
+    create = sub.add_parser("create-dataset", help="build a study from alignment, methylation and variant files")
     create.add_argument("--output", required=True)
-    create.add_argument("--bam", required=True, help="files, comma-separated")
-    create.add_argument("--names", help="sample names, comma-separated")
+    for kind, what in (("bam", "alignments"), ("methylation", "methylation files, told apart by their names"), ("vcf", "variants")):
+        create.add_argument(f"--{kind}", help=f"{what}, comma-separated")
+        create.add_argument(f"--{kind}-names", help="sample names, comma-separated")
+    create.add_argument("--metadata", help="file of sample metadata")
+    create.add_argument("--filter-chromosomes", action=argparse.BooleanOptionalAction, default=True)
+    create.add_argument("--compression", choices=("default", "fast", "none"), default="default")
     create.add_argument("--chromsizes", help="file of contig sizes; else the header of the first file")
     create.add_argument("--stranded", help="library type, or a JSON list or mapping")
     create.add_argument("--overwrite", action="store_true")
@@ -37,23 +41,36 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _write_lines(rows, path: str) -> None:
+    """Tab-separated rows as one file, written as they come from Spark."""
+    with open(path, "w", encoding="utf-8") as f:
+        for row in rows.toLocalIterator():
+            f.write("\t".join(map(str, row)) + "\n")
+
+
 def run(args: argparse.Namespace) -> None:
     from pyspark.sql import functions as F
 
-    from .facade import build_coverage
+    from .build import create_dataset
     from .operators import peaks
     from .session import session
-    from .sources import bam, bigwig, text
+    from .sources import bigwig, text
 
     spark = session()
     if args.command == "create-dataset":
-        files = args.bam.split(",")
-        names = args.names.split(",") if args.names else [os.path.basename(f).removesuffix(".bam") for f in files]
-        if len(names) != len(files):
-            raise ValueError("as many names as files are needed")
-        sizes = text.read_chromsizes(spark, args.chromsizes or dict(bam.header(files[0])))
+        listed = lambda value: value.split(",") if value else []
+        kinds = text.classify_methylation(listed(args.methylation))
         stranded = json.loads(args.stranded) if args.stranded and args.stranded[0] in "[{" else args.stranded
-        build_coverage(spark, args.output, dict(zip(names, files, strict=True)), sizes, stranded, args.resume, args.overwrite)
+        given = listed(args.methylation_names) or None
+        present = [k for k in ("bedgraph", "cx", "mc") if kinds[k] or k == "mc" and kinds["hmc"]]
+        if given and len(present) > 1:
+            raise ValueError("names can be given for methylation files of one kind only")
+        create_dataset(
+            spark, args.output, args.chromsizes, args.metadata, stranded, args.filter_chromosomes, args.overwrite, args.resume, args.compression,
+            bam_files=listed(args.bam), bam_names=listed(args.bam_names) or None, vcf_files=listed(args.vcf), vcf_names=listed(args.vcf_names) or None,
+            bedgraph_files=kinds["bedgraph"], cx_files=kinds["cx"], mc_files=kinds["mc"], hmc_files=kinds["hmc"],
+            **({{"bedgraph": "bedgraph_names", "cx": "cx_names", "mc": "split_names"}[present[0]]: given} if given and present else {}),
+        )
     elif args.command == "call-peaks":
         listed = sorted(f for f in os.listdir(args.bigwig_dir) if f.endswith((".bw", ".bigWig")))
         if not listed:
@@ -65,8 +82,9 @@ def run(args: argparse.Namespace) -> None:
         black = text.read_bed(spark, args.blacklist) if args.blacklist else None
         called, logged = peaks.call_peaks(found, text.read_chromsizes(spark, args.chromsizes), args.tilesize, args.quantile, black, args.merge)
         logged.write.mode("overwrite").parquet(os.path.join(args.output_dir, f"logged_rpkm_{args.tilesize}bp.parquet"))
-        beds = called.select(F.concat("sample", F.lit(".bed")).alias("file"), "contig", "start", "end")
-        beds.repartition("file").sortWithinPartitions("file", "contig", "start").write.mode("overwrite").partitionBy("file").csv(os.path.join(args.output_dir, "peaks"), sep="\t")
+        for name in (n.rsplit(".", 1)[0] for n in listed):
+            own = called.where(F.col("sample") == name).select("contig", "start", "end").orderBy("contig", "start")
+            _write_lines(own, os.path.join(args.output_dir, f"{name}.bed"))
     else:
         text.combine_metadata(spark, args.files).toPandas().to_csv(args.output, index=False)
 

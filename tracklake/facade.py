@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce as fold
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import counts, normalise, profiles, ranges, signal, sites, stats
+from .operators import counts, normalise, peaks, profiles, ranges, signal, sites, stats
 from .operators.intervals import numbered
 from .plans.store import Store
+from .schema import FILL
 
 
 class Dataset:
@@ -82,11 +81,94 @@ class Dataset:
     def normalise(self, reduced: DataFrame, method: str) -> DataFrame:
         return normalise.normalise_reduced(reduced, self.library_sizes(), method, strict=method.lower() != "tpm")
 
-    def region(self, region: str, samples: list[str] | None = None, strand: str = "*") -> DataFrame:
+    def region(self, region: str, samples: list[str | int] | None = None, strand: str = "*", method: str | None = None, include_incomplete: bool = False) -> DataFrame:
+        """Coverage of a region, raw, or as ``cpm`` or ``rpkm`` of single bases.
+
+        Samples by name or place; RuntimeError for an incomplete one unless
+        these are asked for.
+        """
         contig, start, end = ranges.parse_region(region)
-        return signal.region_slice(self._table("coverage"), self.contigs, contig, start, end, strand, samples)
+        chosen = self._chosen(samples, include_incomplete)
+        found = signal.region_slice(self._table("coverage"), self.contigs, contig, start, end, strand, chosen)
+        if method is None:
+            return found
+        if method.lower() == "tpm":
+            raise ValueError("a region has no TPM")
+        sized = found.withColumn("value", F.col("value").cast("double")).withColumn("_length", F.lit(1))
+        return normalise.normalise(sized, self.library_sizes(), method, ["value"], "_length", strict=True).drop("_length")
+
+    def _chosen(self, samples: list[str | int] | None, include_incomplete: bool = False) -> list[str]:
+        names = self.sample_names
+        done = {r["sample_id"] for r in self.store.samples.where("completed").select("sample_id").collect()}
+        if samples is None:
+            return names if include_incomplete else [n for n in names if n in done]
+        chosen = [names[s] if isinstance(s, int) else s for s in samples]
+        if unknown := set(chosen) - set(names):
+            raise ValueError(f"unknown samples {sorted(unknown)}")
+        if not include_incomplete and (lacking := [n for n in chosen if n not in done]):
+            raise RuntimeError(f"samples are not complete: {lacking}")
+        return chosen
+
+    def sites(self, modality: str, region: str | None = None, samples: list[str | int] | None = None, dense: bool = False) -> DataFrame:
+        """Methylation sites or variants, of a region or all.
+
+        ``dense``: every position of any sample for every chosen one, missing
+        values filled as in FILL.  Regions of variants count from 1 and
+        include their end.
+        """
+        chosen = self._chosen(samples)
+        found = self._table(modality)
+        if region is not None:
+            contig, start, end = ranges.parse_region(region)
+            found = found.where(F.col("contig") == contig) if end is None else sites.site_region(found, contig, start or 0, end, modality == "variants")
+        if dense:
+            frame = self.spark.createDataFrame([(n,) for n in chosen], "sample_id string")
+            return sites.dense_sites(found, frame, FILL)
+        return found.where(F.col("sample").isin(chosen))
+
+    def positions(self, modality: str) -> DataFrame:
+        return sites.positions(self._table(modality))
+
+    def alleles(self) -> DataFrame:
+        return sites.alleles(self._table("variants"), self.store.samples)
+
+    def allele_frequency(self) -> DataFrame:
+        return sites.allele_frequency(self._table("variants"))
+
+    def whole(self, contig: str, samples: list[str | int] | None = None, strand: str = "*") -> DataFrame:
+        """(sample, pos, value) of every base of a contig, lazily, with its zeros."""
+        length = self.contigs.where(F.col("contig") == contig).select("length").first()
+        if length is None:
+            raise ValueError(f"unknown contig {contig}")
+        frame = self.spark.createDataFrame([(n,) for n in self._chosen(samples)], "sample_id string")
+        return signal.region_dense(self._table("coverage"), self.contigs, frame, contig, 0, length[0], strand)
+
+    def normalise_windows(self, windows: DataFrame, method: str, bin_size: int | None = None) -> DataFrame:
+        return normalise.normalise_windows(windows, self.library_sizes(), method, bin_size)
+
+    def call_peaks(self, tile: int = 128, quantile: float = 0.98, blacklist: DataFrame | None = None, merge: bool = True) -> DataFrame:
+        whole = self._table("coverage").where("strand = '*'").drop("strand")
+        return peaks.call_peaks(whole, self.contigs, tile, quantile, blacklist, merge)[0]
+
+    def heatmap(self, reduced: DataFrame, variable: str = "mean") -> DataFrame:
+        return stats.heatmap_order(reduced.select(F.col("range_index").alias("feature"), "sample", F.col(variable).cast("double").alias("value")))
+
+    def locus(self, region: str, kinds: list[str] | None = None, samples: list[str | int] | None = None) -> DataFrame:
+        """Points of the tracks that the store has in a region."""
+        have = {"coverage": lambda: self.region(region, samples), "methylation": lambda: self.sites("methylation", region, samples), "variants": lambda: self.sites("variants", region, samples)}
+        wanted = kinds or self.modalities
+        return profiles.locus({"variant" if k == "variants" else k: have[k]() for k in wanted})
+
+    def metadata(self) -> DataFrame:
+        return self.store.metadata()
 
-    def pca(self, reduced: DataFrame, n_components: int = 10, variable: str = "mean", **options):
+    def set_metadata(self, metadata: DataFrame, merge: bool = True) -> None:
+        self.store.set_metadata(metadata, merge)
+
+    def pca(self, reduced: DataFrame, n_components: int = 10, variable: str = "mean", contigs: list[str] | None = None, **options):
+        """Scores and variances, of the ranges on ``contigs`` if given."""
+        if contigs is not None:
+            reduced = reduced.where(F.col("contig").isin(contigs))
         matrix = reduced.select(F.col("range_index").alias("feature"), "sample", F.col(variable).cast("double").alias("value"))
         return stats.pca(matrix, n_components, **options)
 
@@ -99,26 +181,3 @@ class Dataset:
 
     def tornado(self, windows: DataFrame, n_bins: int, oriented: bool = False, **options) -> DataFrame:
         return profiles.tornado(profiles.orient(windows, n_bins, oriented), **options)
-
-    def metadata(self) -> DataFrame:
-        return self.store.metadata()
-
-
-def build_coverage(spark: SparkSession, path, alignments: dict[str, str], contigs: DataFrame, stranded=None, resume: bool = False, overwrite: bool = False) -> Dataset:
-    """A store of alignment files by sample; completed samples are skipped."""
-    from .sources import bam
-
-    store = Store.create(spark, path, contigs, list(alignments), overwrite, resume, stranded=stranded)
-    for sample in store.pending(list(alignments)):
-        reads = bam.read_bam(spark, alignments[sample])
-        blocks = bam.coverage_blocks(reads, sample, store.manifest["stranded"][sample])
-        store.write_table(signal.sweep(blocks.join(F.broadcast(contigs), "contig", "left_semi")), "coverage", sample)
-        store.commit(sample, bam.mapped_reads(reads).first()["total_reads"])
-    return Dataset(store)
-
-
-def build_methylation(store: Store, tables: dict[str, DataFrame]) -> None:
-    """Add sites by sample; tables of either schema, unified."""
-    whole = fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.withColumn("sample", F.lit(s)) for s, t in tables.items()))
-    for sample in tables:
-        store.write_table(whole, "methylation", sample)

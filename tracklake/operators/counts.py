@@ -32,13 +32,18 @@ def count_features(coverage: DataFrame, features: DataFrame, contigs: DataFrame,
         counts = signal.join(named.select("range_index", *keys), "range_index").groupBy(*keys, "sample").agg(F.sum("count").alias("count"))
         meta = rollup_metadata(named, keys)
     if integerize:
-        counts = counts.withColumn("count", F.bround("count").cast("bigint"))
+        counts = integers(counts)
     if filter_zero:
         counts = nonzero_features(counts, keys)
         meta = meta.join(counts.select(*keys).distinct(), keys, "left_semi")
     return counts, meta
 
 
+def integers(counts: DataFrame) -> DataFrame:
+    """Whole counts; halves go to the even neighbour."""
+    return counts.withColumn("count", F.bround("count").cast("bigint"))
+
+
 def rollup_metadata(features: DataFrame, keys: list[str]) -> DataFrame:
     """One row per id: bounds, summed length, contig and strand of the first range."""
     firsts = [F.min_by(c, "range_index").alias(c) for c in ("contig", "strand") if c in features.columns]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,29 @@ def metaplot(windows: DataFrame, groups: DataFrame | None = None, error: str = "
     return means.groupBy("label", "bin").agg(F.avg("m").alias("mean"), spread("m").alias("err"))
 
 
+#: Parts in which rows are ranked.
+PARTS = 64
+
+
+def _ranked(rows: DataFrame, order: Column) -> DataFrame:
+    """row_rank from 0 by ``order`` (a double, nulls last) and range_index, numbered in parts.
+
+    Approximate quantiles of the order bound the parts, and what stands before
+    a part is the sum of the counts of those below it.  Equal values are in
+    one part.
+    """
+    placed = rows.select("range_index", F.coalesce(order.cast("double"), F.lit(float("inf"))).alias("o"))
+    bounds = placed.agg(F.percentile_approx("o", [i / PARTS for i in range(1, PARTS)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col("o"))) if bounds else F.lit(0)
+    placed = placed.withColumn("part", part)
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("o", "range_index")) - 1
+    numbered = placed.withColumn("within", within).join(F.broadcast(starts), "part")
+    return numbered.select("range_index", (F.col("before") + F.col("within")).cast("int").alias("row_rank"))
+
+
 def tornado(windows: DataFrame, sort_by: str | None = "mean", panel: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """panel, range_index, row_rank, bin, value; rows in the order of one panel.
 
@@ -39,11 +62,10 @@ def tornado(windows: DataFrame, sort_by: str | None = "mean", panel: str | None
         cells = joined.groupBy(F.col("label").alias("panel"), "range_index", "bin").agg(F.avg("value").alias("value"))
     first = panel if panel is not None else cells.agg(F.min("panel")).first()[0]
     own = cells.where(F.col("panel") == first).groupBy("range_index").agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
-    keys = {"mean": F.col("mean").desc_nulls_last(), "mean_r": F.col("mean").asc_nulls_last(), "max": F.col("max").desc_nulls_last(), None: F.col("range_index")}
+    keys = {"mean": -F.col("mean"), "mean_r": F.col("mean"), "max": -F.col("max"), None: F.col("range_index")}
     if sort_by not in keys:
         raise ValueError(f"{sort_by!r} is none of mean, mean_r, max, None")
-    # one row per interval of one panel
-    ranks = own.withColumn("row_rank", F.row_number().over(Window.orderBy(keys[sort_by], "range_index")) - 1)
+    ranks = _ranked(own, keys[sort_by])
     return cells.join(ranks.select("range_index", "row_rank"), "range_index").select("panel", "range_index", "row_rank", "bin", "value")
 
 

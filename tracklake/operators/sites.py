@@ -74,7 +74,8 @@ def merge_strands(report: DataFrame) -> DataFrame:
 def join_split_reports(mc: DataFrame | None, hmc: DataFrame | None) -> DataFrame:
     """Reports of mC and hmC (contig, pos, strand, n_mod, n_not_mod) as one.
 
-    The total is that of the mC report; a missing report counts 0.
+    The total is that of the mC report; a missing report, or a site that one of
+    them lacks, counts 0 there.
     """
     if mc is None and hmc is None:
         raise ValueError("give an mC or an hmC report")
@@ -84,8 +85,8 @@ def join_split_reports(mc: DataFrame | None, hmc: DataFrame | None) -> DataFrame
         zero, mod = F.lit(0), F.col("n_mod")
         return own.select(*key, (mod if mc is not None else zero).alias("n_mc"), (zero if mc is not None else mod).alias("n_hmc"), F.col("n_not_mod").alias("n_c"))
     other = hmc.select(*key, F.col("n_mod").alias("_h"))
-    joined = mc.join(other, key)
-    left = F.greatest(F.col("n_mod") + F.col("n_not_mod") - F.col("n_mod") - F.col("_h"), F.lit(0))
+    joined = mc.join(other, key, "full_outer").na.fill(0, ["n_mod", "n_not_mod", "_h"])
+    left = F.greatest(F.col("n_not_mod") - F.col("_h"), F.lit(0))
     return joined.select(*key, F.col("n_mod").alias("n_mc"), F.col("_h").alias("n_hmc"), left.alias("n_c"))
 
 

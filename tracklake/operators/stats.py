@@ -107,6 +107,11 @@ def pca(matrix: DataFrame, n_components: int = 2, missing: str = "drop", scale:
     return spark.createDataFrame(rows, f"sample {kind}, component int, score double"), spark.createDataFrame(ratios, "component int, explained_variance double, ratio double")
 
 
+def scree(ratios: DataFrame) -> DataFrame:
+    """component, ratio and the cumulative ratio; a row for each component."""
+    return ratios.select("component", "ratio", F.sum("ratio").over(Window.orderBy("component")).alias("cumulative"))
+
+
 def cluster_order(distance: np.ndarray) -> list[int]:
     """Leaf order of average-linkage clustering of a small distance matrix."""
     groups = {i: [i] for i in range(len(distance))}

@@ -60,6 +60,23 @@ def sample_hash(names: list[str]) -> str:
     return hashlib.sha256("|".join(names).encode()).hexdigest()[:16]
 
 
+def merged_metadata(samples: DataFrame, metadata: DataFrame, base: list[str], merge: bool = True) -> DataFrame:
+    """``samples`` with the string columns of ``metadata`` by sample_id.
+
+    ``merge``: values of other samples and columns stay, else only ``base``.
+    """
+    kept = samples if merge else samples.select(*base)
+    own = [c for c in metadata.columns if c not in base]
+    fresh = metadata.select("sample_id", *(F.col(c).cast("string").alias(f"_new_{c}") for c in own))
+    joined = kept.join(fresh, "sample_id", "left")
+    return joined.withColumns({c: F.coalesce(f"_new_{c}", c) if c in kept.columns else F.col(f"_new_{c}") for c in own}).drop(*(f"_new_{c}" for c in own))
+
+
+def unfinished(wanted: DataFrame, samples: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` whose sample_id is not completed."""
+    return wanted.join(samples.where("completed").select("sample_id"), "sample_id", "left_anti")
+
+
 class Store:
     """Tables under one path; all frames are lazy."""
 
@@ -120,19 +137,13 @@ class Store:
     def pending(self, requested: list[str]) -> list[str]:
         """Requested samples that have no commit yet."""
         wanted = self.spark.createDataFrame([(i, s) for i, s in enumerate(requested)], "i int, sample_id string")
-        left = wanted.join(self.samples.where("completed").select("sample_id"), "sample_id", "left_anti")
-        return [r["sample_id"] for r in left.orderBy("i").collect()]
+        return [r["sample_id"] for r in unfinished(wanted, self.samples).orderBy("i").collect()]
 
     def set_metadata(self, metadata: DataFrame, merge: bool = True) -> None:
         """String columns by sample_id; ``merge``: values of other samples and columns stay."""
         self._writable()
         base = [f.split()[0] for f in SAMPLES.split(", ")]
-        kept = self.samples if merge else self.samples.select(*base)
-        fresh = metadata.select(F.col("sample_id"), *(F.col(c).cast("string").alias(f"_new_{c}") for c in metadata.columns if c not in base))
-        joined = kept.join(F.broadcast(fresh), "sample_id", "left")
-        for c in (c for c in metadata.columns if c not in base):
-            joined = joined.withColumn(c, F.coalesce(f"_new_{c}", c) if c in kept.columns else F.col(f"_new_{c}")).drop(f"_new_{c}")
-        self._replace_samples(joined)
+        self._replace_samples(merged_metadata(self.samples, metadata, base, merge))
 
     def update_metadata(self, column: str, values) -> None:
         """A list for all samples in order, or a mapping for some."""

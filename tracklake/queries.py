@@ -184,7 +184,7 @@ def count_filter_zero(v: Views) -> DataFrame:
 
 @query(f"WITH {COV}, {PER_BASE}, c AS (SELECT range_index, sample, sum(value) / 4.0 AS q FROM cells GROUP BY range_index, sample) SELECT range_index, sample, round_even(q, 0)::BIGINT AS count FROM c")
 def count_integerize(v: Views) -> DataFrame:
-    return _counts(v, integerize=False).withColumn("count", F.bround(F.col("count") / 4).cast("bigint"))
+    return counts.integers(_counts(v, integerize=False).withColumn("count", F.col("count") / 4))
 
 
 @query(f"WITH {COV}, {PER_BASE} SELECT range_index, coalesce(sum(value) FILTER (sample = 'A'), 0)::BIGINT AS \"A\", coalesce(sum(value) FILTER (sample = 'N'), 0)::BIGINT AS \"N\", coalesce(sum(value) FILTER (sample = 'R'), 0)::BIGINT AS \"R\" FROM cells GROUP BY range_index")
@@ -591,11 +591,14 @@ def vcf_parse(v: Views) -> DataFrame:
 
 # --- dimension tables ------------------------------------------------------------------------
 
-@query("SELECT s_suppkey AS id, coalesce(nullif(n_name, ''), s_name) AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3")
+@query("SELECT s_suppkey::VARCHAR AS sample_id, coalesce(n_name, s_name) AS label, n_name AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3")
 def metadata_merge(v: Views) -> DataFrame:
-    fresh = v.raw("nation").where("n_regionkey < 3").select("n_nationkey", "n_name")
-    joined = v.raw("supplier").join(F.broadcast(fresh), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return joined.select(F.col("s_suppkey").alias("id"), F.coalesce(F.nullif("n_name", F.lit("")), "s_name").alias("label"))
+    from .plans.store import merged_metadata
+
+    samples = v.raw("supplier").select(F.col("s_suppkey").cast("string").alias("sample_id"), F.col("s_name").alias("label"))
+    named = v.raw("supplier").join(v.raw("nation").where("n_regionkey < 3"), F.col("s_nationkey") == F.col("n_nationkey"))
+    fresh = named.select(F.col("s_suppkey").cast("string").alias("sample_id"), F.col("n_name").alias("label"), F.col("n_name").alias("nation"))
+    return merged_metadata(samples, fresh, ["sample_id"])
 
 
 @query("WITH a AS (SELECT DISTINCT o_orderpriority AS sample_id, 0 AS m, 'coverage' AS n FROM orders UNION ALL SELECT DISTINCT o_orderpriority, 1, 'methylation' FROM orders WHERE o_orderpriority < '3' UNION ALL SELECT 'extra', 2, 'variants') SELECT sample_id, string_agg(n, ',' ORDER BY m) AS modalities FROM a GROUP BY sample_id")
@@ -606,7 +609,45 @@ def metadata_combined(v: Views) -> DataFrame:
     return combined_metadata({"coverage": names, "methylation": names.where("sample_id < '3'"), "variants": v.spark.createDataFrame([("extra",)], "sample_id string")})
 
 
-@query("SELECT c_custkey AS sample FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+@query("SELECT c_custkey AS sample_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def resume_antijoin(v: Views) -> DataFrame:
-    done = v.raw("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sample"))
-    return v.raw("customer").select(F.col("c_custkey").alias("sample")).join(done, "sample", "left_anti")
+    from .plans.store import unfinished
+
+    samples = v.raw("orders").select(F.col("o_custkey").alias("sample_id"), (F.col("o_orderstatus") == "F").alias("completed"))
+    return unfinished(v.raw("customer").select(F.col("c_custkey").alias("sample_id")), samples)
+
+
+# --- later additions ---------------------------------------------------------------------------
+
+@query(f"SELECT w.range_index, w.bin, w.sample, round(w.value / (s.n / 1e6) / (10 / 1000), 6) AS value FROM ({_W}) w JOIN (WITH {COV} SELECT sample, sum(value)::DOUBLE AS n FROM cov WHERE strand = '*' GROUP BY sample) s USING (sample)")
+def normalise_signal_rpkm(v: Views) -> DataFrame:
+    found = normalise.normalise_windows(_windows(v, fixed_width=40, bin_size=10), v.sizes(), "rpkm", 10)
+    return found.select("range_index", "bin", "sample", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {COV}, n AS (SELECT sample, sum(value)::DOUBLE AS n FROM cov WHERE strand = '*' GROUP BY sample) SELECT contig, start, \"end\", sample, round(value / (n / 1e6), 6) AS value FROM cov JOIN n USING (sample) WHERE contig = 'chr2' AND strand = '*' AND \"end\" > 20 AND start < 120")
+def region_cpm(v: Views) -> DataFrame:
+    cut = signal.region_slice(v.coverage(), v.contigs(), "chr2", 20, 120).withColumn("value", F.col("value").cast("double"))
+    return normalise.normalise(cut, v.sizes(), "cpm", ["value"]).select("contig", "start", "end", "sample", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {VARIANTS}, p AS (SELECT DISTINCT contig, pos FROM variants), s AS (SELECT DISTINCT sample FROM variants) SELECT p.contig, p.pos, s.sample, coalesce(v.genotype, -1) AS genotype, coalesce(v.ad_ref, 0) AS ad_ref, coalesce(v.ad_alt, 0) AS ad_alt FROM p CROSS JOIN s LEFT JOIN variants v ON v.contig = p.contig AND v.pos = p.pos AND v.sample = s.sample")
+def variants_dense(v: Views) -> DataFrame:
+    from .schema import FILL
+
+    found = v.variants()
+    kinds = found.select(F.col("sample").alias("sample_id")).distinct()
+    return sites.dense_sites(found, kinds, FILL).select("contig", "pos", "sample", "genotype", "ad_ref", "ad_alt")
+
+
+@query(f"WITH {METHYL}, p AS (SELECT DISTINCT contig, pos FROM methyl WHERE contig = 'chr3') SELECT p.contig, p.pos, k.sample, coalesce(m.n_methylated, 0) AS n_methylated, coalesce(m.n_unmethylated, 0) AS n_unmethylated, round(m.methylation_pct, 6) AS methylation_pct FROM p CROSS JOIN kinds k LEFT JOIN methyl m ON m.contig = p.contig AND m.pos = p.pos AND m.sample = k.sample")
+def methylation_dense(v: Views) -> DataFrame:
+    from .schema import FILL
+
+    found = sites.dense_sites(v.methylation().where("contig = 'chr3'"), v.event_samples(), FILL)
+    return found.select("contig", "pos", "sample", "n_methylated", "n_unmethylated", F.round("methylation_pct", 6).alias("methylation_pct"))
+
+
+@query(f"WITH {MATRIX} SELECT round(sum(x), 6) AS variance FROM (SELECT var_samp(value) AS x FROM matrix GROUP BY feature)")
+def pca_total_variance(v: Views) -> DataFrame:
+    return stats.pca(v.matrix(), 1_000)[1].agg(F.round(F.sum("explained_variance"), 6).alias("variance"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "contig string, start bigint, end bigint, flag int, mapq int, name string"
+SCHEMA = "contig string, start bigint, end bigint, flag int, mapq int, name string, part int"
 #: Bits of the flag field, fixed by the format.
 PAIRED, UNMAPPED, REVERSE, FIRST, SECOND, SECONDARY, DUPLICATE, SUPPLEMENTARY = 0x1, 0x4, 0x10, 0x40, 0x80, 0x100, 0x400, 0x800
 #: CIGAR operations that cover the reference with bases: M, =, X; and those that skip it: D, N.
@@ -70,23 +70,24 @@ def header(path: str) -> list[tuple[str, int]]:
 
 
 def aligned_blocks(data: bytes, at: int, names: list[str]) -> list[tuple]:
-    """Rows of the reference blocks that one record covers; one empty row if it is unmapped."""
+    """Rows of the reference blocks that one record covers, numbered from 0; one without a place if there is none."""
     ref, pos, name_size, mapq, _, n_ops, flag = struct.unpack_from("<iiBBHHH", data, at)
     name = data[at + 32: at + 31 + name_size].decode(errors="replace")
-    if ref < 0 or flag & UNMAPPED:
-        return [(None, None, None, flag, mapq, name)]
-    rows, low, high = [], pos, pos
-    for op in struct.unpack_from(f"<{n_ops}I", data, at + 32 + name_size):
-        size, kind = op >> 4, op & 15
-        if kind in COVERS:
-            high += size
-        elif kind in SKIPS:
-            if high > low:
-                rows.append((names[ref], low, high, flag, mapq, name))
-            low = high = high + size
-    if high > low:
-        rows.append((names[ref], low, high, flag, mapq, name))
-    return rows
+    spans, low, high = [], pos, pos
+    if ref >= 0 and not flag & UNMAPPED:
+        for op in struct.unpack_from(f"<{n_ops}I", data, at + 32 + name_size):
+            size, kind = op >> 4, op & 15
+            if kind in COVERS:
+                high += size
+            elif kind in SKIPS:
+                if high > low:
+                    spans.append((low, high))
+                low = high = high + size
+        if high > low:
+            spans.append((low, high))
+    if not spans:
+        return [(None, None, None, flag, mapq, name, 0)]
+    return [(names[ref], low, high, flag, mapq, name, i) for i, (low, high) in enumerate(spans)]
 
 
 class BamPartition(InputPartition):
@@ -105,7 +106,7 @@ class BamReader(DataSourceReader):
         return [BamPartition(p) for p in self.paths]
 
     def read(self, partition):
-        schema = pa.schema([("contig", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("flag", pa.int32()), ("mapq", pa.int32()), ("name", pa.string())])
+        schema = pa.schema([("contig", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("flag", pa.int32()), ("mapq", pa.int32()), ("name", pa.string()), ("part", pa.int32())])
 
         def batch(rows):
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -151,9 +152,8 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mapped_reads(alignments: DataFrame) -> DataFrame:
-    """Rows of mapped primary reads' blocks, counted by read."""
-    primary = alignments.where((F.col("flag").bitwiseAND(UNMAPPED | SECONDARY | SUPPLEMENTARY) == 0) & F.col("contig").isNotNull())
-    return primary.groupBy("name", "flag").agg(F.count(F.lit(1)).alias("blocks")).agg(F.count(F.lit(1)).alias("total_reads"))
+    """total_reads: all records that are mapped, secondary and supplementary ones too."""
+    return alignments.where((F.col("part") == 0) & (F.col("flag").bitwiseAND(UNMAPPED) == 0)).agg(F.count(F.lit(1)).alias("total_reads"))
 
 
 def strand_of(library: str):
