@@ -88,8 +88,13 @@ def discard(*tables: DataFrame, collect: bool = False) -> None:
             system, at = _file_system(table.sparkSession, path)
             system.delete(at, True)
     if collect and tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, upon which Spark drops the shuffle files of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 # --------------------------------------------------------------------------

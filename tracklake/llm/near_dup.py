@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import verified_components
-from .common import discard, keyed, map_batches, materialise, mix64, row_key
+from .common import discard, keyed, map_batches, materialise, mix64, release, row_key
 from .shared_shingles import Shared, with_frequencies
 
 _U = 2.0**-32
@@ -171,6 +171,7 @@ def classified(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands:
     found = with_frequencies(source, _signatures(n_docs, similarity, bands, rows), _FOUND, width)
     # numbers of rows, fixed as they are written
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    release(docs.sparkSession)  # the texts' shuffle
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "text_low")).alias("first")
     describing = F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("describing")
     sets = materialise(found.groupBy("low", "high").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), first, describing), "sets")

@@ -8,8 +8,10 @@ order of the bucket's own hashes.  There, a function gets the bucket's texts, th
 
 A frequent shingle is one entry per bucket, so no part gathers a row for each
 text that holds it, and neither buckets nor parts grow if shuffle partitions
-grow with the input.  Shingles are compared by 48 bits of hash and the bits of
-their part (56 bits and more).
+grow with the input.  Shingles are compared by 40 bits of hash and the bits of
+their part, which grow with the partitions.  Two that agree there by chance
+(some in a million) count as one: a frequency is never too low, so that what
+others share stays an upper bound.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, bound_batches, give_back, shingles, shuffle_partitions, word_runs
 
-LOW = 48
+LOW = 40
 
 
 @dataclass
@@ -39,13 +41,13 @@ class Shared:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """The low 48 bits of each value."""
-    return np.ascontiguousarray((values & np.uint64((1 << LOW) - 1)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The low 40 bits of each value."""
+    return np.ascontiguousarray((values & np.uint64((1 << LOW) - 1)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    whole = np.zeros((len(raw) // 6, 8), np.uint8)
-    whole[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(raw) // (LOW // 8), 8), np.uint8)
+    whole[:, : LOW // 8] = np.frombuffer(raw, np.uint8).reshape(-1, LOW // 8)
     return whole.view("<u8").ravel()
 
 
@@ -60,7 +62,7 @@ def with_frequencies(docs: DataFrame, fn: Callable[[Shared], Iterator[pa.RecordB
     """
     n = spread * shuffle_partitions(docs.sparkSession)
     bits = max(1, (n - 1).bit_length())
-    # beyond 2**16 parts, all 64 bits of hash are used
+    # beyond 2**24 parts, all 64 bits of hash are used
     kept = min(LOW, 64 - bits)
     shift = np.uint64(64 - kept - bits)
 

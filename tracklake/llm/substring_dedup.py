@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import verified_components
-from .common import Words, bound_batches, discard, keyed, map_batches, materialise, mix64, row_key, sequence_hashes, spans
+from .common import Words, bound_batches, discard, keyed, map_batches, materialise, mix64, release, row_key, sequence_hashes, spans
 from .near_dup import band_keys
 from .shared_shingles import Shared, with_frequencies
 
@@ -223,6 +223,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 40, similarity: float
     """
     bands, rows = tune_bands(similarity, recall)
     found = materialise(with_frequencies(keyed(docs), _finder(similarity, width), _FOUND, width), "paragraphs")
+    release(docs.sparkSession)  # the texts' shuffle
     sets = found.groupBy("node").agg(F.first(F.struct("shared", "items")).alias("one")).select("node", F.col("one.shared").cast("double").alias("shared"), (F.length("one.items") / 8).alias("total"), "one.items")
     nodes = materialise(map_batches(sets, _bander(bands, rows), "node long, shared double, total double, items binary, bands array<long>"), "nodes")
     slim = materialise(found.drop("items", "shared"), "places")
