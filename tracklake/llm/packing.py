@@ -39,7 +39,7 @@ SHARDS = 4096
 class WordEncoder(dict):
     """Little-endian ids of words and texts, as the library gives them."""
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library, self.remembered = Tokenizer.from_file(path), remembered
@@ -89,8 +89,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        encode = own.encode
+        encode = encoder(path).encode
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 part = whole.slice(low, 256)
@@ -101,7 +100,6 @@ def token_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1)
                     n = len(ids) // 4
                     rows += [(doc_id, i, at, min(size, n - at), ids[4 * at: 4 * (at + size)]) for i, at in enumerate(range(0, n, size))]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        own.clear()  # the worker goes on to other steps
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(source, run, "doc_id long, piece int, start long, length long, ids binary")
