@@ -429,6 +429,36 @@ def test_short_passage_in_a_document_with_copies(spark):
     assert all(left[w] == 1 for passage in passages for w in passage)
 
 
+def test_no_long_run_of_words_stays_twice(spark):
+    # copies with a word changed here and there are cut unlike, as frequencies change within what they share
+    rng, texts = random.Random(11), []
+    for family in range(12):
+        base = prose(400, 700 + family).split()
+        for copy in range(4):
+            words = [f"x{family}y{copy}z{i}" if rng.random() < 1 / 50 else w for i, w in enumerate(base)]
+            texts.append(" ".join(words))
+    texts += [prose(80, 900), "again and " * 60, "again and " * 60 + prose(30, 901)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = substring_dedup.repeated_passages(docs).cache()
+    cut = dict(substring_dedup.without_passages(docs, found).collect())
+
+    def holders(all_texts):
+        seen = {}
+        for i, text in all_texts:
+            words = text.split()
+            for k in range(len(words) - 49):
+                seen.setdefault(tuple(words[k: k + 50]), set()).add(i)
+        return {k: v for k, v in seen.items() if len(v) > 1}
+
+    assert len(holders(enumerate(texts))) > 1000 and not holders(cut.items())
+    assert all(cut[i] == texts[i] for i in [*range(0, 48, 4), 48, 49])  # the first holders
+    assert prose(30, 901) in cut[50]
+    gone = [r for r in found.collect() if r["removed"]]
+    for a in gone:  # pieces are apart, and of as many words as they say
+        assert len(texts[a["doc_id"]][a["start"]: a["end"]].split()) == a["n_words"]
+        assert not any(b is not a and b["doc_id"] == a["doc_id"] and a["start"] <= b["start"] < a["end"] for b in gone)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = docs.columns

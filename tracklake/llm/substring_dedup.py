@@ -14,6 +14,13 @@ Of a cluster in two texts or more, the first occurrence stays, and the others
 can go.  They do where such paragraphs, one after another, make a passage of
 ``least_words`` words or more: shorter lines that many texts share stay.
 
+Where copies differ in a word here and there, frequencies change within a
+passage, and its holders are cut unlike.  So an exact check follows: of windows
+of ``least_words`` equal words, those whose hash is the least of STEP in a row
+are compared over all texts, and what the paragraphs left of any but the first
+text's goes too.  Of a run of ``least_words`` + STEP - 1 words or more that two
+texts share, no more than STEP - 1 words at either end can stay so.
+
 Results for odd input: a null or empty text has no paragraphs; a paragraph of
 fewer words than a shingle is never removed; rows are told by id and text
 together (null ids last), so that rows equal in both count as one text, and
@@ -41,6 +48,8 @@ from .shared_shingles import Shared, with_frequencies
 AROUND = 8
 #: So many shingles on a passage's side are in more texts than those that straddle its edge.
 INSIDE = 8
+#: Of so many windows in a row, the one with the least hash is compared.
+STEP = 8
 KEY = ["doc_id", "text_low", "text_high"]
 
 
@@ -112,18 +121,48 @@ def paragraphs(words: Words, hashed: np.ndarray, frequency: np.ndarray, counts:
     return np.union1d(edge[:-1], soft)
 
 
-_FOUND = "doc_id long, text_low long, text_high long, first long, start long, end long, n_words int, node long, shared int, items binary"
+def chosen_windows(hashed: np.ndarray, first: np.ndarray, frequency: np.ndarray, counts: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the windows to compare.
+
+    Only a window whose shingles all stand in other texts too can be in one.
+    Of every STEP of these in a row, the one with the least hash is chosen, so
+    that equal runs of words have equal choices; of fewer, none.
+    """
+    inside = length - width + 1
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if inside < 1 or not len(frequency):
+        return none
+    _, index = spans(counts)
+    sums = np.concatenate([[0], np.cumsum(frequency > 1)])
+    at = np.flatnonzero(np.repeat(counts, counts) - index >= inside)
+    at = at[sums[at + inside] - sums[at] == inside]
+    # shingle i of a text begins with its word i; a text of fewer words than a shingle has no window
+    text = np.searchsorted(np.cumsum(counts), at, side="right")
+    word = first[:-1][text] + index[at]
+    if len(word) < STEP:
+        return none
+    value = sequence_hashes(hashed, word, word + length)
+    row = np.lib.stride_tricks.sliding_window_view(value, STEP)
+    least = np.arange(len(row)) + row.argmin(axis=1)
+    whole = (word[STEP - 1:] - word[: 1 - STEP] == STEP - 1) & (text[STEP - 1:] == text[: 1 - STEP])
+    least = np.unique(least[whole])
+    return word[least], value[least]
+
+
+_FOUND = "doc_id long, text_low long, text_high long, first long, start long, end long, n_words int, node long, shared int, items binary, windows binary"
+_WINDOW = np.dtype([("hash", "<i8"), ("first", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
-def _finder(similarity: float, width: int):
-    """Paragraphs whose shared shingles can reach the similarity."""
+def _finder(similarity: float, width: int, length: int):
+    """Paragraphs whose shared shingles can reach the similarity; in a row of its own, each text's windows to compare."""
+
+    names = [*KEY, "first", "start", "end", "n_words", "node", "shared", "items", "windows"]
 
     def run(texts: Shared) -> Iterator[pa.RecordBatch]:
         words = texts.words
         hashed = words.hashes()
         begin = paragraphs(words, hashed, texts.frequency, texts.counts, width)
         owner = np.searchsorted(words.first[:-1], begin, side="right") - 1
-        last_of_text = np.append(owner[1:] != owner[:-1], True) if len(begin) else np.zeros(0, bool)
         end = np.append(begin[1:], len(hashed))[: len(begin)]
         within = end - begin - width + 1
         shared = (texts.frequency > 1).astype(np.int64)
@@ -145,11 +184,15 @@ def _finder(similarity: float, width: int):
         chosen = some[able]
         a, b, text = begin[chosen], end[chosen], owner[chosen]
         letters = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
-        # up to the next paragraph, or the text's last word with the marks that follow it
-        stop = np.where(last_of_text[chosen], words.end[b - 1], words.start[np.minimum(b, len(hashed) - 1)])
         blanks = np.append(np.flatnonzero(words.data <= 32), len(words.data))
-        marks = np.minimum(blanks[np.searchsorted(blanks, stop)], words.offsets[text + 1])
-        stop = np.where(last_of_text[chosen], marks, stop)
+
+        def stops(b: np.ndarray, text: np.ndarray) -> np.ndarray:
+            """Bytes up to the next word, or to the text's last word with the marks that follow it."""
+            last = b == words.first[text + 1]
+            stop = np.where(last, words.end[b - 1], words.start[np.minimum(b, len(hashed) - 1)])
+            return np.where(last, np.minimum(blanks[np.searchsorted(blanks, stop)], words.offsets[text + 1]), stop)
+
+        stop = stops(b, text)
         zero = letters[words.offsets[text]]
         ends = np.concatenate([[0], np.cumsum(8 * total[able])]).astype(np.int32)
         raw = hashes[able[group]].astype("<u8").tobytes()
@@ -157,8 +200,21 @@ def _finder(similarity: float, width: int):
         yield pa.record_batch([
             *key, pa.array(a - words.first[text]), pa.array(letters[words.start[a]] - zero), pa.array(letters[stop] - zero), pa.array((b - a).astype(np.int32)),
             pa.array(sequence_hashes(hashed, a, b).view(np.int64)), pa.array(common[able].astype(np.int32)),
-            pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(ends), pa.py_buffer(raw)]),
-        ], names=[*KEY, "first", "start", "end", "n_words", "node", "shared", "items"])
+            pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(ends), pa.py_buffer(raw)]), pa.nulls(len(chosen), pa.binary()),
+        ], names=names)
+        at, value = chosen_windows(hashed, words.first, texts.frequency, texts.counts, width, length)
+        text = np.searchsorted(words.first, at, side="right") - 1
+        zero = letters[words.offsets[text]]
+        found = np.empty(len(at), _WINDOW)
+        found["hash"], found["first"] = value.view(np.int64), at - words.first[text]
+        found["start"], found["end"] = letters[words.start[at]] - zero, letters[stops(at + length, text)] - zero
+        owner, begin = np.unique(text, return_index=True)
+        ends = (np.append(begin, len(at)) * _WINDOW.itemsize).astype(np.int32)
+        key = [texts.rows.column(c).combine_chunks().cast(pa.int64()).take(pa.array(owner)) for c in KEY]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.record_batch([
+            *key, *(pa.nulls(len(owner), k) for k in kinds), pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends), pa.py_buffer(found.tobytes())]),
+        ], names=names)
 
     return run
 
@@ -215,18 +271,78 @@ def _repeating(placed: DataFrame) -> DataFrame:
     return joined.withColumn("later", F.struct(key.alias("key"), "first") != F.col("earliest")).drop("earliest").dropDuplicates([*KEY, "first"])
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window."""
+    for batch in batches:
+        listed = batch.column("windows").to_pylist()
+        found = np.frombuffer(b"".join(listed), _WINDOW)
+        text = pa.array(np.repeat(np.arange(len(listed)), [len(x) // _WINDOW.itemsize for x in listed]))
+        yield pa.record_batch([*(batch.column(c).take(text) for c in KEY), *(pa.array(found[c].astype(np.int64)) for c in _WINDOW.names)], names=[*KEY, "cluster_id", "first", "start", "end"])
+
+
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a text's later windows hold beyond its removed paragraphs, as pieces of whole words."""
+    for batch in batches:
+        source, rows = [], []
+        for i, (later, gone) in enumerate(zip(batch.column("later").to_pylist(), batch.column("gone").to_pylist(), strict=True)):
+            cuts = sorted((x["first"], x["last"], x["start"], x["end"]) for x in gone or ())
+            done, done_at, k = 0, 0, 0  # words that are gone already, and the character at which the next begins
+            for x in sorted(later, key=lambda x: x["first"]):
+                at, begin = max((done, done_at), (x["first"], x["start"]))
+                while at < x["last"]:
+                    while k < len(cuts) and cuts[k][1] <= at:
+                        k += 1
+                    if k < len(cuts) and cuts[k][0] <= at:
+                        at, begin = cuts[k][1], cuts[k][3]
+                        continue
+                    to, stop = (cuts[k][0], cuts[k][2]) if k < len(cuts) and cuts[k][0] < x["last"] else (x["last"], x["end"])
+                    if source and source[-1] == i and rows[-1][1] == begin:  # one piece goes on
+                        rows[-1] = (rows[-1][0], stop, rows[-1][2] + to - at, rows[-1][3])
+                    else:
+                        source.append(i)
+                        rows.append((begin, stop, to - at, x["cluster_id"]))
+                    at, begin = to, stop
+                done, done_at = max((done, done_at), (at, begin))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        own = [batch.column(c).take(pa.array(source, pa.int64())) for c in KEY]
+        yield pa.record_batch([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*KEY, "start", "end", "n_words", "cluster_id"])
+
+
+def _exact(windows: DataFrame, passages: DataFrame, length: int) -> DataFrame:
+    """Rows of passages for what equal windows of later texts hold beyond the removed paragraphs."""
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), *KEY)
+    listed = map_batches(windows, _unpack, "doc_id long, text_low long, text_high long, cluster_id long, first long, start long, end long")
+    by = listed.groupBy("cluster_id").agg(F.min(F.struct(key.alias("key"), "start", "end")).alias("earliest"), F.max(key).alias("last"))
+    by = materialise(by.where("earliest.key != last").drop("last"), "windows")
+    spot = lambda last: F.struct("first", last.alias("last"), "start", "end")
+    later = listed.join(by, "cluster_id").where(key != F.col("earliest.key")).withColumn("at", spot(F.col("first") + length).withField("cluster_id", F.col("cluster_id")))
+    later = later.groupBy(*KEY).agg(F.collect_set("at").alias("later"))
+    gone = passages.where("removed").groupBy(*(F.col(c).alias(f"_{c}") for c in KEY)).agg(F.collect_list(spot(F.col("first") + F.col("n_words"))).alias("gone"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    texts = later.join(gone, same[0] & same[1] & same[2], "left").select(*KEY, "later", "gone")
+    pieces = materialise(map_batches(texts, _uncovered, "doc_id long, text_low long, text_high long, start long, end long, n_words int, cluster_id long"), "pieces")
+    stays = by.join(pieces.select("cluster_id").distinct(), "cluster_id")
+    columns = ["doc_id", "start", "end", "n_words", "cluster_id", "removed", "text_low", "text_high"]
+    kept = stays.select("earliest.key.*", "earliest.start", "earliest.end", F.lit(length).alias("n_words"), "cluster_id", F.lit(False).alias("removed"))
+    return pieces.withColumn("removed", F.lit(True)).select(*columns).union(kept.select(*columns))
+
+
 def repeated_passages(docs: DataFrame, least_words: int = 40, similarity: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
     """doc_id, start, end (characters), n_words, cluster_id, removed, text_low, text_high.
 
     One row for each paragraph that is removed, and for the occurrence of its
-    cluster that stays, if that is in a passage too; other texts have no row.
+    cluster that stays, if that is in a passage too; one for each piece that
+    the exact check adds, and for the first text's window that stays for it
+    (their cluster_id is the window's hash); other texts have no row.
     """
     bands, rows = tune_bands(similarity, recall)
-    found = materialise(with_frequencies(keyed(docs), _finder(similarity, width), _FOUND, width), "paragraphs")
+    found = materialise(with_frequencies(keyed(docs), _finder(similarity, width, least_words), _FOUND, width), "paragraphs")
     release(docs.sparkSession)  # the texts' shuffle
-    sets = found.groupBy("node").agg(F.first(F.struct("shared", "items")).alias("one")).select("node", F.col("one.shared").cast("double").alias("shared"), (F.length("one.items") / 8).alias("total"), "one.items")
+    sets = found.where("windows is null").groupBy("node").agg(F.first(F.struct("shared", "items")).alias("one")).select("node", F.col("one.shared").cast("double").alias("shared"), (F.length("one.items") / 8).alias("total"), "one.items")
     nodes = materialise(map_batches(sets, _bander(bands, rows), "node long, shared double, total double, items binary, bands array<long>"), "nodes")
-    slim = materialise(found.drop("items", "shared"), "places")
+    slim = materialise(found.where("windows is null").drop("items", "shared", "windows"), "places")
+    windows = materialise(found.where("windows is not null").select(*KEY, "windows"), "windows")
     discard(found, collect=True)
     members = nodes.select("node", "total", "shared", F.explode("bands").alias("bucket"))
     linked = verified_components(members, nodes.select("node", "items"), similarity, _verifier(similarity))
@@ -244,7 +360,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 40, similarity: float
     passages = materialise(sized.where("removed or (long and not later)").drop("run", "part", "long", "later"), "passages")
     discard(repeated)
     gone = passages.where("removed").select("cluster_id").distinct()
-    return passages.join(gone, "cluster_id", "left_semi").select("doc_id", "start", "end", "n_words", "cluster_id", "removed", "text_low", "text_high")
+    near = passages.join(gone, "cluster_id", "left_semi").select("doc_id", "start", "end", "n_words", "cluster_id", "removed", "text_low", "text_high")
+    return near.union(_exact(windows, passages, least_words))
 
 
 def _without(text: pa.Array, cuts: pa.Array) -> pa.Array:
