@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from tracklake.llm import clusters, html_extract, labelled_pages, license_scan, media_chunks, mixing, near_dup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from tracklake.llm import clusters, common, html_extract, labelled_pages, license_scan, media_chunks, mixing, near_dup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 from tracklake.llm.common import materialise
 from tracklake.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 
@@ -459,6 +460,33 @@ def test_no_long_run_of_words_stays_twice(spark):
         assert not any(b is not a and b["doc_id"] == a["doc_id"] and a["start"] <= b["start"] < a["end"] for b in gone)
 
 
+def test_shuffles_go_without_garbage_collection(spark, monkeypatch):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return set(re.findall(r"shuffle_\d+", blocks.getAllFiles().mkString(" ")))
+
+    def written(df, name):
+        before = files()
+        found = materialise(df, name)
+        time.sleep(0.5)  # files are deleted beside the session's thread
+        left[name] = files() - before
+        return found
+
+    def linked(*args):
+        raise InterruptedError
+
+    left, conf = {}, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(substring_dedup, "materialise", written)
+    monkeypatch.setattr(substring_dedup, "verified_components", linked)
+    monkeypatch.setattr(substring_dedup, "release", lambda session: None)
+    monkeypatch.setattr(common, "release", lambda session: None)
+    before = spark.conf.get(conf)
+    with pytest.raises(InterruptedError):
+        substring_dedup.repeated_passages(spark.createDataFrame(ODD, "doc_id bigint, text string"))
+    assert left == {"paragraphs": set(), "nodes": set(), "places": set(), "windows": set()}
+    assert spark.conf.get(conf) == before
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = docs.columns

@@ -48,6 +48,8 @@ def _file_system(spark: SparkSession, path: str):
 _SESSIONS: dict[str, str] = {}
 #: Folder of each table that materialise() wrote.
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Whether Spark deletes a write's shuffle files as soon as it is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session_dir(spark: SparkSession) -> str:
@@ -66,11 +68,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that it ran,
-    and readers prune columns.
+    and readers prune columns.  The write's shuffle files go with its end, not
+    when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[found] = path
     return found
