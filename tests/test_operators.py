@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracklake.operators import intervals, peaks, ranges, signal, stats
 from tracklake.plans import store
@@ -163,3 +164,10 @@ def test_joins_of_mixed_lengths(spark):
     points = frame(spark, [(c, p) for c in ("chr0", "chr1") for p in range(0, 10**6, 9973)], "contig string, pos bigint")
     got = sorted((r["contig"], r["pos"], r["r_range_index"]) for r in intervals.point_join(points, b).collect())
     assert got == sorted((c, p, y[0]) for c in ("chr0", "chr1") for p in range(0, 10**6, 9973) for y in right if y[1] == c and y[2] <= p < y[3])
+
+
+def test_joins_broadcast_no_intervals(spark):
+    # a side's rows are listed in many bins, which Spark's estimate of its size does not know
+    a = frame(spark, [(i, "chr1", 7 * i, 7 * i + 90) for i in range(50)], "range_index bigint, contig string, start bigint, end bigint")
+    for found in (intervals.annotate(a, a, require_overlap=False), intervals.point_join(a.select("contig", F.col("start").alias("pos")), a), intervals.subtract(a, a.where("range_index % 9 = 0"))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -43,24 +43,28 @@ def _level(length: Column, width: int) -> Column:
     return found
 
 
+def _step(at: Column, width: int) -> Column:
+    """Width of the bins of level ``at``."""
+    found = F.lit(width).cast("bigint")
+    for level in range(1, LEVELS):
+        found = F.when(at == level, F.lit(width * FAN**level).cast("bigint")).otherwise(found)
+    return found
+
+
 def _listed(df: DataFrame, start: str, end: str, width: int, highest: int, name: str) -> DataFrame:
     """``df`` with one row for each bin that an interval touches, from its own level to ``highest``.
 
-    name_level is the interval's own level; name_at the level, name_bin the bin,
-    and name_first the interval's first bin there.
+    name_at is the level, name_bin the bin there, and name_kind whether the
+    level is above the interval's own (always 0 without such levels).
     """
     own = _level(F.col(end) - F.col(start), width)
-    rows = df.withColumn(f"{name}_level", own)
-    if highest:
-        rows = rows.withColumn(f"{name}_at", F.explode(F.sequence(F.col(f"{name}_level"), F.greatest(F.col(f"{name}_level"), F.lit(highest)))))
-    else:
-        rows = rows.withColumn(f"{name}_at", F.col(f"{name}_level"))
-    step = F.lit(width).cast("bigint")
-    for level in range(1, LEVELS):
-        step = F.when(F.col(f"{name}_at") == level, F.lit(width * FAN**level).cast("bigint")).otherwise(step)
+    above = F.explode(F.sequence(own, F.greatest(own, F.lit(highest)))) if highest else own
+    rows = df.withColumn(f"{name}_at", above)
+    step = _step(F.col(f"{name}_at"), width)
     low = F.floor(F.col(start) / step)
     high = F.greatest(F.floor((F.col(end) - 1) / step), low)
-    return rows.withColumn(f"{name}_first", low).withColumn(f"{name}_bin", F.explode(F.sequence(low, high)))
+    rows = rows.withColumn(f"{name}_kind", (F.col(f"{name}_at") > own).cast("int") if highest else F.lit(0))
+    return rows.withColumn(f"{name}_bin", F.explode(F.sequence(low, high)))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, prefix: str = "r_", extra: dict[str, str] | None = None) -> DataFrame:
@@ -69,37 +73,40 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, pr
     Both sides have contig, start and end.  ``extra``: left columns and the
     right ones that must be equal to them (sample, strand); they join the key.
     ``width``: of the bins, else by the lengths on the left.
+
+    Both sides are sorted and merged: Spark's estimate of a side does not know
+    how many bins its rows are listed in, and it would broadcast millions of
+    them from the driver.
     """
     width, highest = (width, LEVELS - 1) if width else bin_width(left)
+    # a side that comes from one small file, or from a few contigs, is dealt out before it is listed;
     # the left may meet longer intervals of the right on any level
-    a = _listed(left, "start", "end", width, LEVELS - 1, "_l")
+    a = _listed(left.repartition("contig", "start", "end"), "start", "end", width, LEVELS - 1, "_l")
     # kind 0: whom the right lists on its own level; kind 1: on a higher one, where only the left's own level counts
-    kinds = F.when(F.col("_l_at") == F.col("_l_level"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))) if highest else None
+    kinds = F.when(F.col("_l_kind") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))) if highest else None
     a = a.withColumn("_l_kind", F.explode(kinds) if highest else F.lit(0))
     b = right.select(*(F.col(c).alias(prefix + c) for c in right.columns))
-    b = _listed(b, f"{prefix}start", f"{prefix}end", width, highest, "_r")
-    b = b.withColumn("_r_kind", (F.col("_r_at") > F.col("_r_level")).cast("int") if highest else F.lit(0))
+    b = _listed(b, f"{prefix}start", f"{prefix}end", width, highest, "_r").hint("merge")
     same = (F.col("_l_kind") == F.col("_r_kind")) & (F.col("_l_bin") == F.col("_r_bin")) & (F.col("_l_at") == F.col("_r_at"))
     for own, other in {"contig": "contig", **(extra or {})}.items():
         same = same & (a[own] == b[prefix + other])
     theta = (F.col("start") < F.col(f"{prefix}end")) & (F.col(f"{prefix}start") < F.col("end"))
-    once = (F.col("_l_at") == F.greatest("_l_level", "_r_level")) & (F.col("_l_bin") == F.greatest("_l_first", "_r_first"))
-    return a.join(b, same & theta & once).drop(*(f"{side}_{c}" for side in ("_l", "_r") for c in ("level", "at", "first", "bin", "kind")))
+    # on the level of the longer one, in the bin where the later one starts
+    longer = F.greatest(F.col("end") - F.col("start"), F.col(f"{prefix}end") - F.col(f"{prefix}start"))
+    once = (F.col("_l_at") == _level(longer, width)) & (F.col("_l_bin") == F.floor(F.greatest("start", f"{prefix}start") / _step(F.col("_l_at"), width)))
+    return a.join(b, same & theta & once).drop(*(f"{side}_{c}" for side in ("_l", "_r") for c in ("at", "bin", "kind")))
 
 
 def point_join(points: DataFrame, ranges: DataFrame, width: int | None = None, prefix: str = "r_") -> DataFrame:
-    """Pairs of a point (contig, pos) and a range that holds it."""
+    """Pairs of a point (contig, pos) and a range that holds it, by a merge as in overlap_join."""
     width, highest = (width, LEVELS - 1) if width else bin_width(ranges)
     a = points.withColumn("_p_at", F.explode(F.sequence(F.lit(0), F.lit(highest)))) if highest else points.withColumn("_p_at", F.lit(0))
-    step = F.lit(width).cast("bigint")
-    for level in range(1, highest + 1):
-        step = F.when(F.col("_p_at") == level, F.lit(width * FAN**level).cast("bigint")).otherwise(step)
-    a = a.withColumn("_p_bin", F.floor(F.col("pos") / step))
+    a = a.withColumn("_p_bin", F.floor(F.col("pos") / _step(F.col("_p_at"), width)))
     b = ranges.select(*(F.col(c).alias(prefix + c) for c in ranges.columns))
-    b = _listed(b, f"{prefix}start", f"{prefix}end", width, 0, "_r")
+    b = _listed(b, f"{prefix}start", f"{prefix}end", width, 0, "_r").hint("merge")
     holds = (F.col("contig") == F.col(f"{prefix}contig")) & (F.col("_p_bin") == F.col("_r_bin")) & (F.col("_p_at") == F.col("_r_at"))
     inside = (F.col("pos") >= F.col(f"{prefix}start")) & (F.col("pos") < F.col(f"{prefix}end"))
-    return a.join(b, holds & inside).drop("_p_at", "_p_bin", "_r_level", "_r_at", "_r_first", "_r_bin")
+    return a.join(b, holds & inside).drop("_p_at", "_p_bin", "_r_at", "_r_bin", "_r_kind")
 
 
 def clusters(ranges: DataFrame, by: list[str], slack: int = 0) -> DataFrame:
