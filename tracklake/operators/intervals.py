@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 FAN, LEVELS = 64, 6
 #: Least and greatest width of the lowest level's bins.
 NARROW, WIDE = 16, 1 << 20
+#: Bytes of files for which a join has a partition at least.
+PART_BYTES = 8 << 20
 
 
 def bin_width(df: DataFrame, start: str = "start", end: str = "end") -> tuple[int, int]:
@@ -51,20 +53,35 @@ def _step(at: Column, width: int) -> Column:
     return found
 
 
-def _listed(df: DataFrame, start: str, end: str, width: int, highest: int, name: str) -> DataFrame:
+def _place(start: Column, level: Column, width: int) -> Column:
+    """One number for a level and the bin of ``start`` on it."""
+    return F.floor(start / _step(level, width)) * LEVELS + level
+
+
+def _listed(df: DataFrame, start: str, end: str, width: int, highest: int, place: str) -> DataFrame:
     """``df`` with one row for each bin that an interval touches, from its own level to ``highest``.
 
-    name_at is the level, name_bin the bin there, and name_kind whether the
-    level is above the interval's own (always 0 without such levels).
+    ``place`` is the level and the bin; place_up whether the level is above the
+    interval's own (always 0 without such levels).
     """
     own = _level(F.col(end) - F.col(start), width)
-    above = F.explode(F.sequence(own, F.greatest(own, F.lit(highest)))) if highest else own
-    rows = df.withColumn(f"{name}_at", above)
-    step = _step(F.col(f"{name}_at"), width)
-    low = F.floor(F.col(start) / step)
-    high = F.greatest(F.floor((F.col(end) - 1) / step), low)
-    rows = rows.withColumn(f"{name}_kind", (F.col(f"{name}_at") > own).cast("int") if highest else F.lit(0))
-    return rows.withColumn(f"{name}_bin", F.explode(F.sequence(low, high)))
+    at = F.col(f"{place}_at")
+    rows = df.withColumn(f"{place}_at", F.explode(F.sequence(own, F.greatest(own, F.lit(highest)))) if highest else own)
+    rows = rows.withColumn(f"{place}_up", (at > own).cast("int") if highest else F.lit(0))
+    low = F.floor(F.col(start) / _step(at, width))
+    high = F.greatest(F.floor((F.col(end) - 1) / _step(at, width)), low)
+    return rows.withColumn(place, F.explode(F.sequence(low, high))).withColumn(place, F.col(place) * LEVELS + at).drop(f"{place}_at")
+
+
+def _parts(*sides: DataFrame) -> int | None:
+    """Partitions for a join, one for every PART_BYTES of the files below its sides; None where the session has as many."""
+    size = 0
+    for side in sides:
+        leaves = side._jdf.queryExecution().optimizedPlan().collectLeaves()
+        known = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+        size += sum(x for x in known if x < 1 << 60)  # what has no size says the greatest number
+    parts = -(-size // PART_BYTES)
+    return parts if parts > int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, prefix: str = "r_", extra: dict[str, str] | None = None) -> DataFrame:
@@ -76,37 +93,47 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, pr
 
     Both sides are sorted and merged: Spark's estimate of a side does not know
     how many bins its rows are listed in, and it would broadcast millions of
-    them from the driver.
+    them from the driver.  Large tables are dealt over more partitions than the
+    session has, so that a task does not grow with them.
     """
     width, highest = (width, LEVELS - 1) if width else bin_width(left)
+    parts = _parts(left, right)
     # a side that comes from one small file, or from a few contigs, is dealt out before it is listed;
     # the left may meet longer intervals of the right on any level
     a = _listed(left.repartition("contig", "start", "end"), "start", "end", width, LEVELS - 1, "_l")
-    # kind 0: whom the right lists on its own level; kind 1: on a higher one, where only the left's own level counts
-    kinds = F.when(F.col("_l_kind") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))) if highest else None
-    a = a.withColumn("_l_kind", F.explode(kinds) if highest else F.lit(0))
     b = right.select(*(F.col(c).alias(prefix + c) for c in right.columns))
-    b = _listed(b, f"{prefix}start", f"{prefix}end", width, highest, "_r").hint("merge")
-    same = (F.col("_l_kind") == F.col("_r_kind")) & (F.col("_l_bin") == F.col("_r_bin")) & (F.col("_l_at") == F.col("_r_at"))
-    for own, other in {"contig": "contig", **(extra or {})}.items():
-        same = same & (a[own] == b[prefix + other])
+    b = _listed(b, f"{prefix}start", f"{prefix}end", width, highest, "_r")
+    if highest:
+        # 0: whom the right lists on its own level; 1: on a higher one, where only the left's own level counts
+        kind = F.explode(F.when(F.col("_l_up") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        a = a.withColumn("_l_up", kind).withColumn("_l", F.col("_l") * 2 + F.col("_l_up"))
+        b = b.withColumn("_r", F.col("_r") * 2 + F.col("_r_up"))
+    a, b = a.drop("_l_up"), b.drop("_r_up")
+    keys = {"_l": "_r"} | {own: prefix + other for own, other in {"contig": "contig", **(extra or {})}.items()}
+    if parts:
+        a, b = a.repartition(parts, *keys), b.repartition(parts, *keys.values())
+    b = b.hint("merge")
+    same = F.lit(True)
+    for own, other in keys.items():
+        same = same & (a[own] == b[other])
     theta = (F.col("start") < F.col(f"{prefix}end")) & (F.col(f"{prefix}start") < F.col("end"))
     # on the level of the longer one, in the bin where the later one starts
     longer = F.greatest(F.col("end") - F.col("start"), F.col(f"{prefix}end") - F.col(f"{prefix}start"))
-    once = (F.col("_l_at") == _level(longer, width)) & (F.col("_l_bin") == F.floor(F.greatest("start", f"{prefix}start") / _step(F.col("_l_at"), width)))
-    return a.join(b, same & theta & once).drop(*(f"{side}_{c}" for side in ("_l", "_r") for c in ("at", "bin", "kind")))
+    first = _place(F.greatest("start", f"{prefix}start"), _level(longer, width), width)
+    return a.join(b, same & theta & (first == (F.floor(F.col("_l") / 2) if highest else F.col("_l")))).drop("_l", "_r")
 
 
 def point_join(points: DataFrame, ranges: DataFrame, width: int | None = None, prefix: str = "r_") -> DataFrame:
     """Pairs of a point (contig, pos) and a range that holds it, by a merge as in overlap_join."""
     width, highest = (width, LEVELS - 1) if width else bin_width(ranges)
-    a = points.withColumn("_p_at", F.explode(F.sequence(F.lit(0), F.lit(highest)))) if highest else points.withColumn("_p_at", F.lit(0))
-    a = a.withColumn("_p_bin", F.floor(F.col("pos") / _step(F.col("_p_at"), width)))
+    level = F.explode(F.sequence(F.lit(0), F.lit(highest))) if highest else F.lit(0)
+    a = points.withColumn("_p_at", level)
+    a = a.withColumn("_p", _place(F.col("pos"), F.col("_p_at"), width)).drop("_p_at")
     b = ranges.select(*(F.col(c).alias(prefix + c) for c in ranges.columns))
     b = _listed(b, f"{prefix}start", f"{prefix}end", width, 0, "_r").hint("merge")
-    holds = (F.col("contig") == F.col(f"{prefix}contig")) & (F.col("_p_bin") == F.col("_r_bin")) & (F.col("_p_at") == F.col("_r_at"))
+    holds = (F.col("contig") == F.col(f"{prefix}contig")) & (F.col("_p") == F.col("_r"))
     inside = (F.col("pos") >= F.col(f"{prefix}start")) & (F.col("pos") < F.col(f"{prefix}end"))
-    return a.join(b, holds & inside).drop("_p_at", "_p_bin", "_r_at", "_r_bin", "_r_kind")
+    return a.join(b, holds & inside).drop("_p", "_r", "_r_up")
 
 
 def clusters(ranges: DataFrame, by: list[str], slack: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.regions import region_columns
@@ -28,15 +28,28 @@ class Views:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def _bases(self) -> DataFrame:
+        return self.raw("lineitem").select("l_linenumber", "l_partkey", F.col("l_returnflag").alias("sample"), F.coalesce(F.col("l_linestatus") == "F", F.lit(False)).alias("plus"), F.col("l_quantity").cast("bigint").alias("value"))
+
+    @staticmethod
+    def _segment() -> list[Column]:
+        """A base as a segment, after the sums by its narrow keys."""
+        contig = F.concat(F.lit("chr"), F.col("l_linenumber").cast("string"))
+        return [contig.alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + 1).alias("end"), F.col("sample")]
+
     def coverage(self) -> DataFrame:
-        rows = self.raw("lineitem").select(
-            F.concat(F.lit("chr"), F.col("l_linenumber").cast("string")).alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + 1).alias("end"),
-            F.col("l_returnflag").alias("sample"), F.when(F.col("l_linestatus") == "F", "+").otherwise("-").alias("strand"), F.col("l_quantity").cast("bigint").alias("value"),
+        plus, value = F.col("plus"), F.col("value")
+        by = self._bases().groupBy("l_linenumber", "l_partkey", "sample").agg(
+            F.sum(F.when(plus, value)).alias("forward"), F.sum(F.when(~plus, value)).alias("reverse"), F.sum(value).alias("total"), F.max(plus).alias("any_forward"), F.max(~plus).alias("any_reverse"),
         )
-        by = rows.groupBy("contig", "start", "end", "sample", "strand").agg(F.sum("value").alias("value"))
-        # one pass: each row counts for its strand and for the total
-        both = by.withColumn("strand", F.explode(F.array(F.col("strand"), F.lit("*"))))
-        return both.groupBy("contig", "start", "end", "sample", "strand").agg(F.sum("value").alias("value"))
+        # one row of sums, and from it one for each strand and one for the total
+        kinds = F.stack(F.lit(3), F.lit("+"), F.col("forward"), F.col("any_forward"), F.lit("-"), F.col("reverse"), F.col("any_reverse"), F.lit("*"), F.col("total"), F.lit(True))
+        return by.select(*self._segment(), kinds.alias("strand", "value", "any")).where("any").drop("any")
+
+    def total(self) -> DataFrame:
+        """The coverage's rows of both strands together."""
+        by = self._bases().groupBy("l_linenumber", "l_partkey", "sample").agg(F.sum("value").alias("value"))
+        return by.select(*self._segment(), F.lit("*").alias("strand"), "value")
 
     def contigs(self) -> DataFrame:
         length = self.raw("part").agg((F.max("p_partkey") + 1).alias("length"))
@@ -75,7 +88,7 @@ class Views:
         )
 
     def sizes(self) -> DataFrame:
-        return self.coverage().where("strand = '*'").groupBy("sample").agg(F.sum("value").cast("double").alias("library_size"))
+        return self._bases().groupBy("sample").agg(F.sum("value").cast("double").alias("library_size"))
 
     def matrix(self) -> DataFrame:
         """feature, sample, value of the mean embeddings by label."""
@@ -115,7 +128,7 @@ def query(sql: str | None = None):
 
 
 def _reduced(v: Views, *names: str, mode=None, min_count: int = 1) -> DataFrame:
-    return signal.reduce_ranges(v.coverage(), v.features(), v.contigs(), v.samples(), list(names), mode, min_count)
+    return signal.reduce_ranges(v.coverage() if mode else v.total(), v.features(), v.contigs(), v.samples(), list(names), mode, min_count)
 
 
 # --- reduction -------------------------------------------------------------
@@ -159,7 +172,7 @@ def reduce_ordered(v: Views) -> DataFrame:
 # --- counts ------------------------------------------------------------------
 
 def _counts(v: Views, **options) -> DataFrame:
-    return counts.count_features(v.coverage(), v.features(), v.contigs(), v.samples(), **options)[0]
+    return counts.count_features(v.total(), v.features(), v.contigs(), v.samples(), **options)[0]
 
 
 @query(f"WITH {COV}, {PER_BASE} SELECT range_index, sample, sum(value)::BIGINT AS count FROM cells GROUP BY range_index, sample")
@@ -233,7 +246,7 @@ SELECT range_index, bin, sample, (bin * {step} - {up})::BIGINT AS "offset", {agg
 
 
 def _windows(v: Views, **options) -> DataFrame:
-    found = signal.extract_windows(v.coverage(), v.features(), v.contigs(), v.samples(), **options)
+    found = signal.extract_windows(v.coverage() if options.get("strand_aware") else v.total(), v.features(), v.contigs(), v.samples(), **options)
     return found.select("range_index", "bin", "sample", "offset", "value")
 
 
@@ -336,7 +349,7 @@ def annotate_left(v: Views) -> DataFrame:
 
 @query(f"WITH {COV}, {BLACK}, p AS (SELECT DISTINCT contig, start AS pos FROM cov) SELECT contig, pos, EXISTS (SELECT 1 FROM black b WHERE b.contig = p.contig AND p.pos >= b.start AND p.pos < b.\"end\") AS in_range FROM p")
 def mask_positions(v: Views) -> DataFrame:
-    return intervals.position_mask(v.coverage().select("contig", F.col("start").alias("pos")).distinct(), _black(v))
+    return intervals.position_mask(v.total().select("contig", F.col("start").alias("pos")).distinct(), _black(v))
 
 
 MERGE = """o AS (SELECT *, CASE WHEN start < max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM features),
@@ -457,7 +470,7 @@ def genotype_class(v: Views) -> DataFrame:
 
 @query(f"WITH {COV}, n AS (SELECT sample, contig, sum(\"end\" - start) AS n FROM cov WHERE strand = '*' GROUP BY ALL) SELECT s.sample, round(avg(100 * (1 - coalesce(n, 0) / length)), 9) AS sparsity FROM samples s CROSS JOIN contigs c LEFT JOIN n ON n.sample = s.sample AND n.contig = c.contig GROUP BY s.sample")
 def sparsity(v: Views) -> DataFrame:
-    return signal.sparsity(v.coverage(), v.contigs(), v.samples()).withColumn("sparsity", F.round("sparsity", 9))
+    return signal.sparsity(v.total(), v.contigs(), v.samples()).withColumn("sparsity", F.round("sparsity", 9))
 
 
 @query(f"WITH {COV} SELECT sample, CASE WHEN sample <> 'N' THEN sum(value)::DOUBLE END AS library_size FROM cov WHERE strand = '*' GROUP BY sample")
@@ -473,7 +486,7 @@ _W = _window_sql(f"{_MID} - 20", "4", 10, "avg", up=20)
 
 @query(f"SELECT sample AS label, bin, round(avg(value), 6) AS mean, round(stddev_pop(value) / sqrt(count(value)), 6) AS err FROM (SELECT w.* REPLACE (CASE WHEN f.p_partkey % 2 = 1 THEN 3 - bin ELSE bin END AS bin) FROM ({_W}) w JOIN part f ON f.p_partkey = w.range_index) GROUP BY 1, 2")
 def metaplot_profile(v: Views) -> DataFrame:
-    wins = signal.extract_windows(v.coverage(), v.features(), v.contigs(), v.samples(), fixed_width=40, bin_size=10)
+    wins = signal.extract_windows(v.total(), v.features(), v.contigs(), v.samples(), fixed_width=40, bin_size=10)
     found = profiles.metaplot(profiles.orient(wins, 4))
     return found.withColumns({"mean": F.round("mean", 6), "err": F.round("err", 6)})
 
@@ -545,7 +558,7 @@ p AS (SELECT g.sample, g.contig, g.start, g."end" FROM g JOIN h USING (sample) W
 
 
 def _tiles(v: Views) -> DataFrame:
-    return peaks.tile_signal(v.coverage().where("strand = '*'").drop("strand"), intervals.tile_genome(v.contigs(), 16))
+    return peaks.tile_signal(v.total().drop("strand"), intervals.tile_genome(v.contigs(), 16))
 
 
 @query(f"WITH {TILES} SELECT * FROM p")
