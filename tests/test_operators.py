@@ -166,8 +166,72 @@ def test_joins_of_mixed_lengths(spark):
     assert got == sorted((c, p, y[0]) for c in ("chr0", "chr1") for p in range(0, 10**6, 9973) for y in right if y[1] == c and y[2] <= p < y[3])
 
 
-def test_joins_broadcast_no_intervals(spark):
+def test_joins_broadcast_no_intervals(spark, tmp_path):
     # a side's rows are listed in many bins, which Spark's estimate of its size does not know
-    a = frame(spark, [(i, "chr1", 7 * i, 7 * i + 90) for i in range(50)], "range_index bigint, contig string, start bigint, end bigint")
+    frame(spark, [(i, "chr1", 7 * i, 7 * i + 90) for i in range(50)], "range_index bigint, contig string, start bigint, end bigint").write.parquet(str(tmp_path / "a"))
+    a = spark.read.parquet(str(tmp_path / "a"))
     for found in (intervals.annotate(a, a, require_overlap=False), intervals.point_join(a.select("contig", F.col("start").alias("pos")), a), intervals.subtract(a, a.where("range_index % 9 = 0"))):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def runs(spark, rng, wide):
+    """Segments of three samples on two contigs, gaps between them, and the dense arrays."""
+    rows, dense = [], {}
+    for c, s, strand in ((c, s, t) for c in ("chr1", "chr2") for s in ("a", "b", "c") for t in "+-*"):
+        at, line = 0, dense.setdefault((c, s, strand), np.zeros(400))
+        while (at := at + rng.choice((0, 0, 1, 5))) < 400:
+            n, v = rng.randrange(1, wide), rng.randrange(1, 5)
+            line[at:at + n] = v
+            rows.append((c, at, min(at + n, 400), s, strand, v))
+            at += n
+    return frame(spark, rows, "contig string, start bigint, end bigint, sample string, strand string, value bigint"), dense
+
+
+@pytest.mark.parametrize("part_bytes", [1500, 8 << 20])
+def test_reductions_and_windows_by_brute_force(spark, monkeypatch, part_bytes, tmp_path):
+    monkeypatch.setattr(intervals, "PART_BYTES", part_bytes)
+    rng = random.Random(5)
+    cov, dense = runs(spark, rng, 9)
+    cov.coalesce(1).write.parquet(str(tmp_path / "cov"))
+    cov = spark.read.parquet(str(tmp_path / "cov"))
+    rows = [(i, rng.choice(("chr1", "chr2")), s := rng.randrange(-5, 395), s + rng.randrange(1, 60), rng.choice("+-")) for i in range(40)]
+    made = frame(spark, rows, "range_index bigint, contig string, start bigint, end bigint, strand string")
+    contigs, samples = frame(spark, [("chr1", 400), ("chr2", 400)], "contig string, length bigint"), frame(spark, [("a",), ("b",), ("c",)], "sample_id string")
+    names = ["sum", "mean", "max", "min", "median"]
+    of = {"sum": np.sum, "mean": np.mean, "max": np.max, "min": np.min, "median": np.median}
+    for mode, strand in ((None, lambda x: "*"), (1, lambda x: x), (2, lambda x: "-" if x == "+" else "+")):
+        found = {(r["range_index"], r["sample"]): [r[n] for n in names] for r in signal.reduce_ranges(cov, made, contigs, samples, names, mode).collect()}
+        want = {(i, s): [of[n](dense[c, s, strand(t)][max(a, 0):b]) for n in names] for i, c, a, b, t in rows for s in "abc"}
+        assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in want)
+    for name in names:
+        found = {(r["range_index"], r["bin"], r["sample"]): r["value"] for r in signal.extract_windows(cov, made, contigs, samples, upstream=14, downstream=7, bin_size=7, bin_agg=name).collect()}
+        want = {}
+        for i, c, a, b, _ in rows:
+            for k in range(3):
+                low = (a + b) // 2 - 14 + 7 * k
+                for s in "abc":
+                    cut = dense[c, s, "*"][max(low, 0):max(low + 7, 0)]
+                    want[i, k, s] = of[name](cut) if len(cut) else None
+        assert found.keys() == want.keys()
+        assert all(found[k] is None if want[k] is None else np.isclose(found[k], want[k]) for k in want), name
+
+
+def test_plans_of_windows_and_reductions(spark, monkeypatch, tmp_path):
+    cov, _ = runs(spark, random.Random(6), 9)
+    cov.coalesce(1).write.parquet(str(tmp_path / "cov"))
+    cov = spark.read.parquet(str(tmp_path / "cov"))
+    ranges_ = frame(spark, [(0, "chr1", 3, 90)], "range_index bigint, contig string, start bigint, end bigint")
+    contigs, samples = frame(spark, [("chr1", 400)], "contig string, length bigint"), frame(spark, [("a",)], "sample_id string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    wins = lambda agg: plan(signal.extract_windows(cov, ranges_, contigs, samples, fixed_width=40, bin_size=10, bin_agg=agg))
+    # a mean is summed by cell, not by value first; and a cell brings its range along
+    for agg in ("mean", "sum", "max", "min"):
+        text = wins(agg)
+        assert not [line for line in text.splitlines() if "Aggregate(keys" in line and "value#" in line.split("]")[0]]
+        assert text.count("SortMergeJoin") + text.count("BroadcastHashJoin") <= 4  # contigs twice, segments, cells
+    # the pairs of a median are made once
+    for text in (wins("median"), plan(signal.reduce_ranges(cov, ranges_, contigs, samples, ["median"]))):
+        assert sum("parquet" in line and "FileScan" in line for line in text.splitlines()) == 1
+    # large tables get partitions by their bytes
+    monkeypatch.setattr(intervals, "PART_BYTES", 400)
+    assert "REPARTITION_BY_NUM" in wins("mean")

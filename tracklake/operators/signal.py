@@ -23,26 +23,65 @@ def wanted_strand(mode: int | str | None) -> Column:
     return F.lit("*")
 
 
-def _statistics(length: Column, reductions: list[str]) -> list[Column]:
-    """Aggregates of (value, n) segments clipped to a range of ``length`` bases."""
+def _overlaps(side: DataFrame, coverage: DataFrame, want: Column, width: int | None, stranded: bool) -> DataFrame:
+    """Pairs of ``side`` and the segments of the strand that it wants."""
+    if not stranded:
+        return overlap_join(side, coverage.where(F.col("strand") == want).drop("strand"), width, "c_")
+    side = side.withColumn("_want", want)
+    # of the three strands only those that a range wants are shuffled
+    read = coverage.join(F.broadcast(side.select(F.col("_want").alias("strand")).distinct()), "strand", "left_semi")
+    return overlap_join(side, read, width, "c_", {"_want": "strand"})
+
+
+def _sums(held: DataFrame, keys: list[str], kinds: list[Reduction]) -> DataFrame:
+    """One row per key of what ``_made`` needs, from (value, n) segments clipped to the key's bases.
+
+    Segments are summed at once, so that most of them end in the task of the
+    join; only a median needs them by value, and then a list of no more than
+    the key's distinct values.
+    """
     value, n = F.col("value"), F.col("n")
-    total = F.coalesce(F.sum(value * n), F.lit(0))
-    covered = F.coalesce(F.sum(n), F.lit(0))
-    found = []
-    for name in reductions:
-        kind = Reduction.of(name)
-        if kind is Reduction.SUM:
-            made = total.cast("bigint")
-        elif kind is Reduction.MEAN:
-            made = total / F.first(length)
-        elif kind is Reduction.MAX:
-            made = F.coalesce(F.max(value), F.lit(0)).cast("bigint")
-        elif kind is Reduction.MIN:
-            made = F.when(covered < F.first(length), 0).otherwise(F.min(value)).cast("bigint")
-        else:  # a row of zeros for the bases without a segment is among the rows
-            made = F.percentile(value, F.lit(0.5), n)
-        found.append(made.alias(kind.value))
-    return found
+    if Reduction.MEDIAN in kinds:
+        held = held.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    found = {}
+    if {Reduction.SUM, Reduction.MEAN} & set(kinds):
+        found["_area"] = F.sum(value * n)
+    if Reduction.MAX in kinds:
+        found["_max"] = F.max(value)
+    if Reduction.MIN in kinds:
+        found["_min"] = F.min(value)
+    if {Reduction.MAX, Reduction.MIN, Reduction.MEDIAN} & set(kinds):
+        found["_covered"] = F.sum(n)
+    if Reduction.MEDIAN in kinds:
+        found["_values"] = F.collect_list(F.when(value.isNotNull(), F.struct(value.cast("double").alias("value"), n.cast("bigint").alias("n"))))
+        found["_known"] = F.sum(F.when(value.isNotNull(), n))
+    return held.groupBy(*keys).agg(*(made.alias(name) for name, made in found.items()))
+
+
+def _made(kind: Reduction, length: Column) -> Column:
+    """A reduction over ``length`` bases from the columns of ``_sums``; bases without a segment are 0."""
+    zero = F.lit(0)
+    bare = length - F.coalesce("_covered", zero)
+    if kind is Reduction.SUM:
+        return F.coalesce("_area", zero)
+    if kind is Reduction.MEAN:
+        return F.coalesce("_area", zero) / length
+    if kind is Reduction.MAX:
+        return F.when(bare > 0, F.greatest("_max", zero)).otherwise(F.col("_max"))
+    if kind is Reduction.MIN:
+        return F.when(bare > 0, F.least("_min", zero)).otherwise(F.col("_min"))
+    # the values at both middle places of all bases, in one pass over the sorted list
+    rest = F.when(bare > 0, F.array(F.struct(F.lit(0.0).alias("value"), bare.cast("bigint").alias("n")))).otherwise(F.expr("cast(array() as array<struct<value: double, n: bigint>>)"))
+    whole = F.array_sort(F.concat(F.coalesce("_values", F.expr("cast(array() as array<struct<value: double, n: bigint>>)")), rest))
+    total = F.coalesce("_known", zero) + F.greatest(bare, zero)
+    none = F.lit(None).cast("double")
+
+    def step(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["n"]
+        return F.struct(seen.alias("seen"), F.coalesce(acc["low"], F.when(seen * 2 >= total, x["value"])).alias("low"), F.coalesce(acc["high"], F.when(seen * 2 > total, x["value"])).alias("high"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), none.alias("low"), none.alias("high"))
+    return F.aggregate(whole, start, step, lambda acc: (acc["low"] + acc["high"]) / 2)
 
 
 def reduce_ranges(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, samples: DataFrame, reductions: list[str] | None = None, strand_mode: int | str | None = None, min_count: int = 1, width: int | None = None) -> DataFrame:
@@ -55,31 +94,23 @@ def reduce_ranges(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, sa
     """
     names = list(dict.fromkeys(["sum", "mean", *(Reduction.of(r).value for r in reductions or [])]))
     ranges = clip(ranges, contigs).withColumn("range_length", F.col("end") - F.col("start"))
-    ranges = ranges.withColumn("_want", wanted_strand(strand_mode))
     keys = [c for c in ("range_index", "contig", "start", "end", "range_length", "strand", "name") if c in ranges.columns]
-    side = ranges.select(*keys, "_want")
-    pairs = overlap_join(side.drop("strand", "name"), coverage, width, "c_", {"_want": "strand"})
+    side = ranges.select(*keys)
+    stranded = str(strand_mode) in ("1", "2", "same", "opposite")
+    slim = ranges.select("range_index", "contig", "start", "end", *(["strand"] if stranded else []))
+    pairs = _overlaps(slim, coverage, wanted_strand(strand_mode), width, stranded)
     held = pairs.select(
-        "range_index", F.col("c_sample").alias("sample"), "range_length", F.col("c_value").alias("value"),
+        "range_index", F.col("c_sample").alias("sample"), F.col("c_value").alias("value"),
         (F.least("end", "c_end") - F.greatest("start", "c_start")).alias("n"),
     )
-    if "median" in names:
-        # partial lengths by value, so that the zeros can be added as one row
-        byte = held.groupBy("range_index", "sample", "range_length", "value").agg(F.sum("n").alias("n"))
-        zeros = byte.groupBy("range_index", "sample", "range_length").agg(F.sum("n").alias("_n")).select("range_index", "sample", "range_length", F.lit(0).cast("bigint").alias("value"), (F.col("range_length") - F.col("_n")).alias("n")).where("n > 0")
-        held = byte.unionByName(zeros)
-        held = held.withColumn("_zero", F.col("value") == 0)
-        sums = held.groupBy("range_index", "sample").agg(
-            *_statistics(F.col("range_length"), [n for n in names if n not in ("max", "min")]),
-            *([F.max("value").cast("bigint").alias("max")] if "max" in names else []), *([F.min("value").cast("bigint").alias("min")] if "min" in names else []),
-        )
-    else:
-        sums = held.groupBy("range_index", "sample").agg(*_statistics(F.col("range_length"), names))
-    spine = side.drop("_want").crossJoin(F.broadcast(samples.select(F.col("sample_id").alias("sample"))))
+    kinds = [Reduction.of(n) for n in names]
+    sums = _sums(held, ["range_index", "sample"], kinds)
+    # dealt out first: all ranges may come from one small file
+    spine = side.repartition("range_index").crossJoin(F.broadcast(samples.select(F.col("sample_id").alias("sample"))))
     whole = spine.join(sums, ["range_index", "sample"], "left")
-    filled = {n: F.coalesce(F.col(n), F.lit(0)).cast("double" if n in ("mean", "median") else "bigint") for n in names}
-    filled["mean"] = F.when(F.col("range_length") >= min_count, filled["mean"])
-    return whole.withColumns(filled).withColumn("count", F.col("range_length").cast("bigint"))
+    made = {k.value: F.coalesce(_made(k, F.col("range_length")), F.lit(0)).cast("double" if k in (Reduction.MEAN, Reduction.MEDIAN) else "bigint") for k in kinds}
+    made["mean"] = F.when(F.col("range_length") >= min_count, made["mean"])
+    return whole.select("range_index", "sample", *keys[1:], *(c.alias(n) for n, c in made.items()), F.col("range_length").cast("bigint").alias("count"))
 
 
 def extract_windows(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame, samples: DataFrame, fixed_width: int | None = None, upstream: int | None = None, downstream: int | None = None, anchor: str = "midpoint", bin_size: int | None = None, bin_agg: str = "mean", strand_aware: bool = False, force_strand: str | None = None, width: int | None = None) -> DataFrame:
@@ -103,44 +134,31 @@ def extract_windows(coverage: DataFrame, ranges: DataFrame, contigs: DataFrame,
             raise ValueError(f"a window of {up + down} is not divisible into bins of {step}")
         wins = anchored(ranges, up, down, anchor)
         n_bins = F.lit((up + down) // step)
+    stranded = force_strand not in ("+", "-") and strand_aware and "strand" in ranges.columns
     if force_strand in ("+", "-"):
         want = F.lit(force_strand)
-    elif strand_aware and "strand" in ranges.columns:
+    elif stranded:
         want = F.when(F.col("strand") == "+", "+").otherwise("-")
     else:
         want = F.lit("*")
     keys = [c for c in ("range_index", "contig", "start", "end", "strand", "name") if c in ranges.columns]
-    wins = wins.join(F.broadcast(contigs), "contig").select(*keys, "win_start", "win_end", "length", want.alias("_want"), n_bins.cast("bigint").alias("_bins"))
-    spine = wins.where("_bins > 0").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_bins") - 1)))
+    wins = wins.join(F.broadcast(contigs), "contig").select(*keys, "win_start", "win_end", "length", n_bins.cast("bigint").alias("_bins"))
+    # dealt out first: all ranges may come from one small file
+    spine = wins.where("_bins > 0").repartition("range_index").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_bins") - 1)))
     spine = spine.withColumns({"_s": F.col("win_start") + F.col("bin") * step, "_e": F.col("win_start") + (F.col("bin") + 1) * step})
     spine = spine.withColumns({"_s": F.greatest("_s", F.lit(0)), "_e": F.least("_e", "length")}).withColumn("_n", F.greatest(F.col("_e") - F.col("_s"), F.lit(0)))
     # overlaps of whole windows with segments, then one row for each bin that both touch
-    core = wins.where("_bins > 0").select("range_index", "contig", "win_start", F.greatest("win_start", F.lit(0)).alias("start"), F.least(F.col("win_start") + F.col("_bins") * step, F.col("length")).alias("end"), "_want")
-    pairs = overlap_join(core.where("end > start"), coverage, width, "c_", {"_want": "strand"})
+    core = wins.where("_bins > 0").select("range_index", "contig", "win_start", F.greatest("win_start", F.lit(0)).alias("start"), F.least(F.col("win_start") + F.col("_bins") * step, F.col("length")).alias("end"), *(["strand"] if stranded else []))
+    pairs = _overlaps(core.where("end > start"), coverage, want, width, stranded)
     cut = pairs.select("range_index", "win_start", F.col("c_sample").alias("sample"), F.col("c_value").alias("value"), F.greatest("start", "c_start").alias("s"), F.least("end", "c_end").alias("e"))
     cut = cut.withColumn("bin", F.explode(F.sequence(F.floor((F.col("s") - F.col("win_start")) / step), F.floor((F.col("e") - 1 - F.col("win_start")) / step))))
     low, high = F.col("win_start") + F.col("bin") * step, F.col("win_start") + (F.col("bin") + 1) * step
-    cut = cut.withColumn("n", F.least("e", high) - F.greatest("s", low)).groupBy("range_index", "bin", "sample", "value").agg(F.sum("n").alias("n"))
-    cells = spine.select("range_index", "bin", "_n").crossJoin(F.broadcast(samples.select(F.col("sample_id").alias("sample"))))
-    held = cells.join(cut, ["range_index", "bin", "sample"], "left")
-    value, n = F.col("value"), F.col("n")
-    covered = F.coalesce(F.sum(n), F.lit(0))
-    if kind is Reduction.MEAN:
-        made = F.coalesce(F.sum(value * n), F.lit(0)) / F.first("_n")
-    elif kind is Reduction.SUM:
-        made = F.coalesce(F.sum(value * n), F.lit(0)).cast("double")
-    elif kind is Reduction.MAX:
-        made = F.coalesce(F.max(value), F.lit(0)).cast("double")
-    elif kind is Reduction.MIN:
-        made = F.when(covered < F.first("_n"), 0).otherwise(F.min(value)).cast("double")
-    else:
-        known = held.where("value is not null").select("range_index", "bin", "sample", "_n", "value", "n")
-        zeros = held.groupBy("range_index", "bin", "sample", "_n").agg((F.col("_n") - F.coalesce(F.sum("n"), F.lit(0))).alias("n")).where("n > 0").select("range_index", "bin", "sample", "_n", F.lit(0).cast("bigint").alias("value"), "n")
-        held = known.unionByName(zeros).unionByName(cells.where("_n = 0").withColumns({"value": F.lit(None).cast("bigint"), "n": F.lit(0).cast("bigint")}))
-        made = F.percentile(F.col("value"), F.lit(0.5), F.greatest(F.col("n"), F.lit(1)))
-    binned = held.groupBy("range_index", "bin", "sample").agg(F.first("_n").alias("_n"), made.alias("value") if kind is Reduction.MEDIAN else F.when(F.first("_n") > 0, made).alias("value"))
-    whole = binned.join(ranges.select(*keys), "range_index")
-    return whole.withColumn("offset", (F.col("bin") * step - up).cast("bigint")).drop("_n")
+    cell = ["range_index", "bin", "sample"]
+    held = cut.select(*cell, "value", (F.least("e", high) - F.greatest("s", low)).alias("n"))
+    cells = spine.select(*keys, "bin", "_n").crossJoin(F.broadcast(samples.select(F.col("sample_id").alias("sample"))))
+    whole = cells.join(_sums(held, cell, [kind]), cell, "left")
+    value = F.when(F.col("_n") > 0, F.coalesce(_made(kind, F.col("_n")), F.lit(0)).cast("double"))
+    return whole.select(*cell, value.alias("value"), *keys[1:], (F.col("bin") * step - up).cast("bigint").alias("offset"))
 
 
 def region_slice(coverage: DataFrame, contigs: DataFrame, contig: str, start: int | None = None, end: int | None = None, strand: str = "*", samples: list[str] | None = None) -> DataFrame:
