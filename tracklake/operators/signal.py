@@ -42,7 +42,8 @@ def _sums(held: DataFrame, keys: list[str], kinds: list[Reduction]) -> DataFrame
     """
     value, n = F.col("value"), F.col("n")
     if Reduction.MEDIAN in kinds:
-        held = held.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+        # dealt out by key at once: a list of one or two values in each task would only be sorted twice
+        held = held.groupBy(*keys, "value").agg(F.sum("n").alias("n")).repartition(*keys)
     found = {}
     if {Reduction.SUM, Reduction.MEAN} & set(kinds):
         found["_area"] = F.sum(value * n)
